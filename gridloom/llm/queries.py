@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import knn_join, near_dedup, packing, quality, secrets
+from gridloom.llm import knn_join, near_dedup, packing, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
@@ -36,6 +40,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k": op2_top_k,
+    "op3_pii": op3_pii,
     "op4_near_dedup": op4_near_dedup,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
