@@ -72,6 +72,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of words without punctuation: ASCII letters and digits, and all of other scripts.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -103,10 +106,10 @@ class FlatText:
         self.buf = np.zeros(len(buf) + 8, np.uint8)
         self.buf[: len(buf)] = _LOWER[buf] if lower else buf
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte start and length of every word (runs of non-white-space), and word offsets by document."""
+    def words(self, members: np.ndarray = ~_WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte start and length of every word (runs of ``members``, by default non-white-space), and word offsets by document."""
         size = int(self.offsets[-1])
-        dark = ~_WS[self.buf[:size]]
+        dark = members[self.buf[:size]]
         first = dark.copy()
         first[1:] &= ~dark[:-1]
         last = dark.copy()
@@ -118,8 +121,8 @@ class FlatText:
         start = np.flatnonzero(first)
         return start, np.flatnonzero(last) + 1 - start, np.searchsorted(start, self.offsets)
 
-    def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        start, length, at = self.words()
+    def word_hashes(self, members: np.ndarray = ~_WS) -> tuple[np.ndarray, np.ndarray]:
+        start, length, at = self.words(members)
         return hash_spans(self.buf, start, length), at
 
 
