@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, knn_join, near_dedup, packing, pii, quality, secrets
+from gridloom.llm import decontam, knn_join, near_dedup, packing, pii, quality, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
 
@@ -68,5 +73,16 @@ WITH usable AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op9_token_counts": r"""
+WITH counted AS (
+  SELECT source, lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w1,
+         len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS w2
+  FROM documents
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(w1) AS BIGINT) AS n_tokens FROM counted GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*), CAST(sum(w2) AS BIGINT) FROM counted GROUP BY source, lang
 """,
 }
