@@ -28,9 +28,11 @@ from gridloom.llm.common import flat_chunks, mix64, scratch, shingle_hashes
 from gridloom.llm.components import components
 
 BANDS, ROWS = 20, 5
+#: Text bytes sketched at a time: permutations of short documents take a hundred bytes a shingle.
+CHUNK_BYTES = 1 << 20
 #: Members of one block in the exact comparison of what hubs left apart.
 BLOCK = 128
-#: Words of the candidates' bit map, at most: its size doesn't grow with the data beyond.
+#: Bits of the candidates' bit map, as a power of two, at most: its size doesn't grow with the data beyond.
 BITMAP_BITS = 26
 
 
@@ -70,7 +72,7 @@ def super_minhash(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
             break
         if level == 0:
             first = slot[on]
-            perm = np.tile(np.arange(m, dtype=np.uint16), (len(h), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(h), 1))
             perm[np.arange(len(h)), first], perm[:, 0] = 0, first
         else:
             perm = perm[on]
@@ -94,7 +96,7 @@ def sketches(df: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, flat in flat_chunks(batch.column(1), lower=True):
+            for a, b, flat in flat_chunks(batch.column(1), lower=True, limit=CHUNK_BYTES):
                 h, at = shingle_sets(*flat.word_hashes(), k)
                 n = np.diff(at)
                 sums = [np.where(n > 0, np.add.reduceat(np.append(mix64(h ^ np.uint64(s)), np.uint64(0)), np.minimum(at[:-1], len(h))), np.uint64(0)).astype(np.int64) for s in (0x243F6A8885A308D3, 0x13198A2E03707344)]
@@ -132,7 +134,7 @@ def _some_sets(df: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((table[at >> 6] >> (at & 63)) & 1 == 1))
-            for a, b, flat in flat_chunks(batch.column(1), lower=True):
+            for a, b, flat in flat_chunks(batch.column(1), lower=True, limit=CHUNK_BYTES):
                 h, ends = shingle_sets(*flat.word_hashes(), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(h.astype(np.int64), ends)], ["node", "s"])
 
@@ -219,6 +221,7 @@ def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = B
     as_any = members.select("cluster", "node", "part", F.lit(0).alias("outside"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), any_block.alias("j"))
     dealt = as_out.union(as_any).groupBy("cluster", "i", "j", "node").agg(F.first("part").alias("part"), F.max("outside").alias("outside"))
     found = dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
+    found = scratch(found, "near-found")
     final = components(links.union(found)).toDF("node", "component")
     rooted = classes.join(final, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
     joined = sketch.drop("bands").join(rooted, ["d1", "d2", "n_shingles"], "left")
