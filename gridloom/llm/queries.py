@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, knn_join, lm_scoring, near_dedup, packing, pii, quality, secrets, token_counts
+from gridloom.llm import decontam, knn_join, lm_scoring, near_dedup, packing, pii, quality, secrets, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
+def op5_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k": op2_top_k,
     "op3_pii": op3_pii,
     "op4_near_dedup": op4_near_dedup,
+    "op5_remove_repeats": op5_remove_repeats,
     "op6_pack": op6_pack,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
