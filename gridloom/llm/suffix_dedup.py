@@ -114,7 +114,8 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
         key = rank << np.uint64(32)
-        key[: n - seen] |= rank[seen:]
+        if seen < n:
+            key[: n - seen] |= rank[seen:]
         seen *= 2
 
 
