@@ -36,10 +36,14 @@ def chunk_fill(pixels: DataFrame, chunk: tuple[int, int, int], coords: tuple[str
     at = [F.col(c) for c in coords]
     keys = [div(c, n).alias(k) for c, n, k in zip(at, chunk, ("ct", "cy", "cx"), strict=True)]
     placed = pixels.select(*keys, in_chunk_offset(at, chunk).cast("int").alias("o"), F.col("value").cast(value_type).alias("v"))
-    packed = placed.groupBy("ct", "cy", "cx").agg(F.map_from_entries(F.collect_list(F.struct("o", "v"))).alias("m"))
-    zero = F.lit(0).cast(value_type)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(math.prod(chunk) - 1)), lambda o: F.coalesce(F.element_at("m", o), zero))
-    return packed.select("ct", "cy", "cx", filled.alias("payload"))
+    packed = placed.groupBy("ct", "cy", "cx").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("m"))
+    zero, full = F.lit(0).cast(value_type), math.prod(chunk)
+    zeros = lambda n: F.array_repeat(zero, n)
+    # each sample behind the zeros since the one before: linear in the chunk's size
+    before = lambda i: F.when(i > 0, F.element_at("m", F.greatest(i, F.lit(1)))["o"]).otherwise(-1)
+    runs = F.transform("m", lambda s, i: F.concat(zeros(s["o"] - before(i) - 1), F.array(s["v"])))
+    tail = zeros(F.lit(full - 1) - F.element_at("m", -1)["o"])
+    return packed.select("ct", "cy", "cx", F.concat(F.flatten(runs), tail).alias("payload"))
 
 
 def shard_grid(chunks: DataFrame, shard: tuple[int, ...], coords: tuple[str, ...] = ("ct", "cy", "cx")) -> DataFrame:
