@@ -7,7 +7,7 @@ classes words have their corpus frequency, with one place for what was never see
 has a probability.
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
-across windows and set to zero where a document begins: first on a bounded number of documents in
+across windows and set to zero where a document or a piece of a long one begins: first on a bounded number of documents in
 one task, then by every partition on its share of the corpus, whose weights are averaged. Scoring
 carries the state from a document's first token to its end.
 
@@ -36,11 +36,13 @@ SHORT = SHORT_CLASSES * CLASS_WORDS
 #: The end token's place among the input symbols.
 END = SHORT + TAIL_CLASSES
 HIDDEN = 24
-#: Documents of the first round of training, in one task.
+#: Documents of the first round of training, in one task: about so many, chosen by a hash of the id.
 WARM_DOCS = 2000
 #: Share of the training documents that the partitions train on.
 TRAIN_SHARE = 0.25
 WINDOW = 16
+#: Tokens after which training sets the state to zero within a document; scoring never does.
+PIECE = 2048
 _LN10 = float(np.log(10))
 
 
@@ -199,12 +201,12 @@ def train(w: dict, tokens: np.ndarray, at: np.ndarray, n_lanes: int, rate: float
     if not len(tokens):
         return w, state
     w = {k: v.copy() for k, v in w.items()}
+    # long documents are learnt in pieces, so that lanes stay even
+    at = np.unique(np.concatenate([at, *(np.arange(at[d], at[d + 1], PIECE) for d in np.flatnonzero(np.diff(at) > PIECE))]))
     place, fresh = _board(tokens, at, lanes(np.diff(at), n_lanes))
     h = np.zeros((place.shape[1], HIDDEN), np.float32)
     for a in range(0, len(place), WINDOW):
         on = int((place[a] >= 0).sum())
-        if on * 4 < place.shape[1]:
-            break  # the rest of few long documents: too few lanes for a good gradient
         p = place[a : a + WINDOW, :on]
         score, last, grads = _window_gradients(w, h[:on], tokens[np.maximum(p, 0)], fresh[a : a + WINDOW, :on], p >= 0)
         h[:on] = last
@@ -326,7 +328,7 @@ def _tokens(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(ends)
 
 
-def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int = 9) -> dict:
+def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shared, seed: int = 9) -> dict:
     """Weights after the bounded first round and the partitions' averaged round."""
     spark = train_docs.sparkSession
     word_c = np.zeros(SHORT)
@@ -334,8 +336,9 @@ def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int
     word_c[vocabulary.symbols[listed]] = vocabulary.counts[listed]
     tail_c = 10.0 ** vocabulary.tail_norm
     start = new_weights(np.concatenate([word_c.reshape(SHORT_CLASSES, CLASS_WORDS).sum(axis=1), tail_c, [vocabulary.ends]]), word_c)
-    order = F.xxhash64("doc_id", F.lit(seed))
-    warm = train_docs.select("text", order.alias("o"), "doc_id").orderBy("o", "doc_id").limit(WARM_DOCS).select("text").coalesce(1)
+    # about WARM_DOCS documents by hash, or all if there are fewer; only these go to the one task
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    warm = train_docs.where(drawn < int((1 << 40) * min(1.0, WARM_DOCS / max(n_docs, 1)))).select("text").repartition(1)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -389,7 +392,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
     vocabulary, least = build_vocabulary(counted, n_docs)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(fit_network(train_docs, vocabulary, shared))
+    weights = spark.sparkContext.broadcast(fit_network(train_docs, n_docs, vocabulary, shared))
     log_all = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
