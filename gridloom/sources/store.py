@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -34,15 +35,15 @@ def open_fs(uri: str, access_key: str | None = None, secret_key: str | None = No
         scheme, host = endpoint.split("//")
         made = fs.S3FileSystem(access_key=access_key, secret_key=secret_key, endpoint_override=host, scheme=scheme.rstrip(":"))
         return made, f"{bucket}/{key}"
+    if "://" in uri and not uri.startswith("file://"):  # hdfs:// and others that the Arrow library knows
+        return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), strip_scheme(uri)
 
 
 def check_target(cfg: StoreConfig) -> None:
     """A local store's parent must be a folder that can be written to."""
-    if is_web_uri(cfg.uri):
+    if "://" in cfg.uri and not cfg.uri.startswith("file://"):
         return
-    import os
-
     parent = os.path.dirname(os.path.abspath(strip_scheme(cfg.uri)))
     require(os.path.isdir(parent), f"{parent} isn't a folder", StatusCode.IOError)
     require(os.access(parent, os.W_OK), f"{parent} can't be written to", StatusCode.IOError)
