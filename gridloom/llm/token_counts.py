@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.bpe import tokenizer
 from gridloom.llm.common import ALNUM, crc_mod, flat_chunks, scratch, shared_dir
 
 KEYS = ("source", "lang", "tokenizer")
@@ -33,8 +35,6 @@ def _count(column: pa.Array, version: str) -> np.ndarray:
         return np.concatenate([np.diff(flat.words()[2]) for _, _, flat in flat_chunks(column)] or [np.zeros(0, np.int64)])
     if version == "words-2":  # runs of letters and digits
         return np.concatenate([np.diff(flat.words(ALNUM)[2]) for _, _, flat in flat_chunks(column)] or [np.zeros(0, np.int64)])
-    from gridloom.llm.bpe import tokenizer
-
     return np.diff(tokenizer(version).encode(column)[1])
 
 
@@ -44,7 +44,7 @@ def counts(df: DataFrame, versions: tuple[str, ...] = ("words-1", "words-2")) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column(3)), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch.column(3)), 0).cast(pa.int64())
             for version in versions:
                 n = _count(batch.column(3), version).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(n), pa.string()), pa.array(n), size], ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_bytes"])
