@@ -105,7 +105,7 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), shape=(n,), strides=(1,)).astype(np.uint64)
     seen = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = ordered[1:] != ordered[:-1]
@@ -327,7 +327,10 @@ def repeats(df: DataFrame, length: int = 200, many: int = MANY_SEGMENTS) -> Data
     spots = rows.select("row", F.explode(F.arrays_zip("a", "s", "at")).alias("x")).select("row", "x.a", "x.s", "x.at")
     hit = spots.join(cover, ["a", "s"]).select("row", F.transform("runs", lambda r: r + F.col("at")).alias("runs"))
     by_row = hit.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return rows.select("row", "doc_id", "text").join(by_row, "row", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
+    runs = F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs")
+    # only texts that may lose something are dealt out
+    some = rows.where(F.size("a") > 0).select("row", "doc_id", "text").join(by_row, "row", "left").select("doc_id", "text", runs)
+    return some.union(rows.where(F.size("a") == 0).select("doc_id", "text", F.array().cast("array<bigint>").alias("runs")))
 
 
 def removal_report(df: DataFrame, length: int = 200, **options) -> DataFrame:
