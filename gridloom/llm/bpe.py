@@ -20,7 +20,7 @@ from gridloom.llm.common import hash_spans, string_chunks
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: Distinct pieces that a worker remembers; beyond, it starts anew.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=1)
