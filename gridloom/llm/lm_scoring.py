@@ -8,7 +8,7 @@ has a probability.
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
 across windows and set to zero where a document or a piece of a long one begins: first on a bounded number of documents in
-one task, then by every partition on its share of the corpus, whose weights are averaged. Scoring
+one task, then by every partition on all its training documents, whose weights are averaged. Scoring
 carries the state from a document's first token to its end.
 
 Words are kept as 64-bit hashes. Null and empty texts are an end token only. Rows with equal or
@@ -38,8 +38,6 @@ END = SHORT + TAIL_CLASSES
 HIDDEN = 24
 #: Documents of the first round of training, in one task: about so many, chosen by a hash of the id.
 WARM_DOCS = 2000
-#: Share of the training documents that the partitions train on.
-TRAIN_SHARE = 0.25
 WINDOW = 16
 #: Tokens after which training sets the state to zero within a document; scoring never does.
 PIECE = 2048
@@ -328,8 +326,8 @@ def _tokens(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(ends)
 
 
-def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shared, seed: int = 9) -> dict:
-    """Weights after the bounded first round and the partitions' averaged round."""
+def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shared, seed: int = 9) -> tuple[dict, int]:
+    """Weights after the bounded first round and the partitions' averaged round, and the tokens that the latter learnt from."""
     spark = train_docs.sparkSession
     word_c = np.zeros(SHORT)
     listed = np.flatnonzero(vocabulary.symbols >= 0)
@@ -353,7 +351,6 @@ def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shar
     found = warm.mapInArrow(first, "w binary").collect()
     warmed = _unpack(found[0].w) if found else start
     sent = spark.sparkContext.broadcast(warmed)
-    part = train_docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1_000_000)) < int(1e6 * TRAIN_SHARE)).select("text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, state, n = sent.value, None, 0
@@ -374,12 +371,12 @@ def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shar
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary()), pa.array([n])], ["w", "n"])
 
-    sums = part.mapInArrow(own, "w binary, n long").repartition(4).mapInArrow(added, "w binary, n long").collect()
+    sums = train_docs.select("text").mapInArrow(own, "w binary, n long").repartition(4).mapInArrow(added, "w binary, n long").collect()
     if not sums:
-        return warmed
+        return warmed, 0
     n = sum(r.n for r in sums)
     parts = [_unpack(r.w) for r in sums]
-    return {k: (sum(p[k] for p in parts) / n).astype(np.float32) for k in warmed}
+    return {k: (sum(p[k] for p in parts) / n).astype(np.float32) for k in warmed}, n
 
 
 def score_documents(df: DataFrame, held_out: Column | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -392,7 +389,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
     vocabulary, least = build_vocabulary(counted, n_docs)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(fit_network(train_docs, n_docs, vocabulary, shared))
+    weights = spark.sparkContext.broadcast(fit_network(train_docs, n_docs, vocabulary, shared)[0])
     log_all = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

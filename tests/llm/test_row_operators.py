@@ -183,6 +183,14 @@ def test_lm_base_and_gain(spark, odd_docs, odd_texts, no_docs, repeated_docs):
     assert lm_scoring.score_documents(repeated_docs).count() == 8
 
 
+def test_network_learns_from_all_training_documents(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} x y{i % 3}") for i in range(400)], "doc_id long, text string").repartition(4)
+    vocabulary, _ = lm_scoring.build_vocabulary(lm_scoring.word_counts(docs), 400)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    _, learnt = lm_scoring.fit_network(docs, 400, vocabulary, shared)
+    assert learnt == vocabulary.total == 1600
+
+
 def test_state_is_carried():
     rng = np.random.default_rng(4)
     w = lm_scoring.new_weights(rng.integers(1, 9, lm_scoring.SHORT_CLASSES + lm_scoring.TAIL_CLASSES + 1), rng.integers(1, 9, lm_scoring.SHORT))
