@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import scratch
@@ -35,13 +35,21 @@ _BASE = {
 _NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": None}
 #: Tokens that could be identifiers: non-white-space with a digit or @.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What follows a label written together with it.
+_LABELLED = r"(?<=:)(?<=(?<!\S)[A-Za-z]{1,32}:)[^\s0-9@]*+[0-9@]\S*+"
+#: Numbers of several groups with single blanks between, which may begin behind a label.
+_RUN = r"(?=[+(0-9])(?:(?<!\S)|(?<=:)(?<=(?<!\S)[A-Za-z]{1,32}:))[+(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++(?![^\s,;:!?\"'>\]])"
+#: Places in the order of candidates: tokens, what follows labels, runs, tokens inside a run (not counted for scores).
+_AS_TOKEN, _AS_LABELLED, _AS_RUN, _INSIDE = range(len(KINDS), len(KINDS) + 4)
+#: Brackets and punctuation around a candidate; a bracket that encloses only a number's first group stays.
+_LEAD, _TRAIL = r"^(?:[\"'<\[]|\((?!\+?[0-9]{1,6}\)[\x20-]?[(0-9]))+", r"[\"')>\],;:.!?]+$"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: What an unseen identifier of a kind has to look like.
 _PLAUSIBLE = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^[0-9A-Fa-f]+([.:]+[0-9A-Fa-f]*){2,}$",
     "card": r"^[0-9][0-9 -]{10,}[0-9]$",
-    "phone": r"^[+(]?[0-9][0-9().-]{5,}[0-9]$",
+    "phone": r"^[+(]?[0-9][0-9(). -]{5,}[0-9]$",
 }
 #: Part of pattern scoring: rounds, least share of a pattern's instances, least number of its seeds.
 ROUNDS, CONFIDENCE, SUPPORT = 2, 0.8, 5
@@ -107,6 +115,7 @@ def _context(text: Column, spans: Column) -> Column:
 
     def around(s: Column) -> Column:
         left = F.lower(F.substring(text, F.greatest(s["start"] - 79, F.lit(1)).cast("int"), F.least(s["start"], F.lit(80)).cast("int")))
+        left = F.regexp_replace(left, r"(?<!\S)([a-z]{1,32}:)(\S{0,1})$", "$1 $2")  # a label is a word of its own
         right = F.lower(F.substring(text, (s["end"] + 1).cast("int"), F.lit(60)))
         one, two, after = F.regexp_extract(left, r"(\S+)[ \t]+\S{0,1}$", 1), F.regexp_extract(left, r"(\S+[ \t]+\S+)[ \t]+\S{0,1}$", 1), F.regexp_extract(right, r"^\S{0,1}[ \t]+(\S+)", 1)
         names = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), two), F.concat(F.lit("+ "), after))
@@ -116,7 +125,7 @@ def _context(text: Column, spans: Column) -> Column:
 
 
 def extract(df: DataFrame) -> DataFrame:
-    """row, doc_id, base (valid base spans with contexts), tokens (identifier-like rest with contexts)."""
+    """row, doc_id, base (valid base spans with contexts), tokens (identifier-like rest with contexts: tokens, labelled ones, runs)."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     text = F.when(F.regexp_like(raw, F.lit(f"[{_IN}{_OUT}]")), F.translate(raw, _IN + _OUT, _STAND_IN * 2)).otherwise(raw)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -127,7 +136,12 @@ def extract(df: DataFrame) -> DataFrame:
     found = [valid(i, k) for i, k in enumerate(KINDS)]
     docs = docs.withColumn("base", F.array_sort(F.concat(*found)))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    docs = docs.withColumn("tokens", F.filter(matches(F.col("text"), _TOKEN, len(KINDS), None), clear))
+    runs = F.filter(matches(F.col("text"), _RUN, _AS_RUN, None), lambda s: F.length(_digits(s["value"])).between(7, 19))
+    docs = docs.withColumn("runs", F.filter(runs, clear))
+    inside = lambda t: F.exists("runs", lambda r: (r["start"] <= t["start"]) & (t["start"] < r["end"]))
+    place = lambda t: t.withField("ord", F.when(inside(t), _INSIDE).otherwise(t["ord"]))
+    single = F.concat(matches(F.col("text"), _TOKEN, _AS_TOKEN, None), matches(F.col("text"), _LABELLED, _AS_LABELLED, None, ":"))
+    docs = docs.withColumn("tokens", F.concat(F.transform(F.filter(single, clear), place), "runs"))
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _context(F.col("text"), F.col("base")).alias("base"), _context(F.col("text"), F.col("tokens")).alias("tokens"))
 
 
@@ -161,15 +175,19 @@ def find_pii(df: DataFrame) -> DataFrame:
     """row, doc_id, base, found: arrays of (start, ord, kind, end); ``found`` also holds what patterns add."""
     spans = scratch(extract(df), "pii-spans")
     occurrences = spans.select("row", F.explode(F.concat("base", "tokens")).alias("s")).select("row", "s.*")
-    good = confident_patterns(occurrences.select("kind", "value", "patterns"))
-    value = F.regexp_replace("value", r"^[\"'(<\[]+|[\"')>\],;:.!?]+$", "")
-    skipped = F.length(F.regexp_extract("value", r"^[\"'(<\[]+", 0))
+    good = confident_patterns(occurrences.where(F.col("ord") < _INSIDE).select("kind", "value", "patterns"))
+    value = F.regexp_replace("value", f"{_LEAD}|{_TRAIL}", "")
+    skipped = F.length(F.regexp_extract("value", _LEAD, 0))
     unseen = occurrences.where(F.col("kind").isNull()).select("row", (F.col("start") + skipped).alias("start"), value.alias("value"), F.explode("patterns").alias("pattern"))
     named = unseen.join(good, "pattern")
     fits = reduce(lambda a, k: a | ((F.col("found_kind") == k) & F.regexp_like("value", F.lit(_PLAUSIBLE[k]))), KINDS, F.lit(False))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found_kind")).cast("int") - 1
     chosen = named.where(fits).groupBy("row", "start", "value").agg(F.min("found_kind").alias("found_kind"))
-    added = chosen.select("row", F.struct("start", order.alias("ord"), F.col("found_kind").alias("kind"), (F.col("start") + F.length("value")).alias("end")).alias("s")).groupBy("row").agg(F.collect_list("s").alias("added"))
+    # of candidates within each other the longest stays
+    chosen = chosen.withColumn("end", F.col("start") + F.length("value"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = chosen.withColumn("reached", F.max("end").over(before)).where(F.col("reached").isNull() | (F.col("end") > F.col("reached")))
+    added = chosen.select("row", F.struct("start", order.alias("ord"), F.col("found_kind").alias("kind"), "end").alias("s")).groupBy("row").agg(F.collect_list("s").alias("added"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end")))
     joined = spans.select("row", "doc_id", plain.alias("base")).join(added, "row", "left")
     return joined.select("row", "doc_id", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("found"))

@@ -82,6 +82,14 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[51].spans == "" and got[52].spans == ""
 
 
+def test_unseen_numbers_with_blanks_and_labels(spark):
+    rows = [(i, f"something {i} please call {'+1 555 010 0' + str(1000 + i)} soon") for i in range(24)]
+    rows += [(100 + i, f"at {i} Tel:+1 555 010 0{1000 + i} soon") for i in range(24)]
+    rows += [(50, "you may call 020 7946 0958 now"), (51, "or call (310) 555-4510, then"), (52, "in room 020 7946 0958 now"), (53, "home Tel:555-0199-77 now"), (54, "home Tel:020 7946 0958 now")]
+    got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].spans for i in range(50, 55)] == ["phone:13:26", "phone:8:22", "", "phone:9:20", "phone:9:22"]
+
+
 def test_scanner_additions_and_redaction(spark, odd_docs):
     key = "ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY-----"
     docs = spark.createDataFrame([(1, key), (2, "é 0123456789abcdef0123 z"), (3, None), (4, "clean")], "doc_id long, text string")
