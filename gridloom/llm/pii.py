@@ -145,15 +145,24 @@ def extract(df: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _context(F.col("text"), F.col("base")).alias("base"), _context(F.col("text"), F.col("tokens")).alias("tokens"))
 
 
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, f"{_LEAD}|{_TRAIL}", "")
+
+
+def _fits(kind: Column, value: Column) -> Column:
+    return reduce(lambda a, k: a | ((kind == k) & F.regexp_like(value, F.lit(_PLAUSIBLE[k]))), KINDS, F.lit(False))
+
+
 def confident_patterns(spans: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind) whose instances are mostly of that kind. ``spans``: kind, value, patterns of all occurrences.
 
     Scores start at 1 for seeds of a kind. In each round a pattern's confidence is the mean score of
     its distinct instances (one unseen instance added), and an unlabelled instance's score is that
-    at least one of its patterns is right.
+    at least one of its patterns is right. Then plausible instances of confident patterns count like
+    seeds, with their pattern's confidence as score, until no pattern is added.
     """
     edges = spans.select(F.explode("patterns").alias("pattern"), F.lower("value").alias("instance"), "kind")
-    edges = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = scratch(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     seeds = edges.where(F.col("kind").isNotNull()).select("pattern", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
     open_edges = edges.where(F.col("kind").isNull()).select("pattern", "instance")
@@ -168,7 +177,16 @@ def confident_patterns(spans: DataFrame, rounds: int = ROUNDS, confidence: float
         scored = reached.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("score"))
         votes = open_edges.join(scored, "instance").select("pattern", "kind", "score", F.lit(0).alias("seed"))
         patterns = score(seeds.unionByName(votes))
-    return patterns.where(F.col("conf") >= confidence).groupBy("pattern").agg(F.max(F.struct("conf", "kind"))["kind"].alias("found_kind"))
+    good = scratch(patterns.where(F.col("conf") >= confidence), "pii-patterns")
+    more = good
+    while not more.isEmpty():
+        reached = open_edges.join(good, "pattern").where(_fits(F.col("kind"), _bare(F.col("instance"))))
+        found = reached.groupBy("instance", "kind").agg(F.max("conf").alias("score"))
+        votes = open_edges.join(found, "instance").select("pattern", "kind", "score", F.lit(1).alias("seed"))
+        rated = score(seeds.unionByName(votes)).where(F.col("conf") >= confidence)
+        more = scratch(rated.join(good, ["pattern", "kind"], "left_anti"), "pii-patterns")
+        good = good.unionByName(more)
+    return good.groupBy("pattern").agg(F.max(F.struct("conf", "kind"))["kind"].alias("found_kind"))
 
 
 def find_pii(df: DataFrame) -> DataFrame:
@@ -176,13 +194,12 @@ def find_pii(df: DataFrame) -> DataFrame:
     spans = scratch(extract(df), "pii-spans")
     occurrences = spans.select("row", F.explode(F.concat("base", "tokens")).alias("s")).select("row", "s.*")
     good = confident_patterns(occurrences.where(F.col("ord") < _INSIDE).select("kind", "value", "patterns"))
-    value = F.regexp_replace("value", f"{_LEAD}|{_TRAIL}", "")
+    value = _bare(F.col("value"))
     skipped = F.length(F.regexp_extract("value", _LEAD, 0))
     unseen = occurrences.where(F.col("kind").isNull()).select("row", (F.col("start") + skipped).alias("start"), value.alias("value"), F.explode("patterns").alias("pattern"))
     named = unseen.join(good, "pattern")
-    fits = reduce(lambda a, k: a | ((F.col("found_kind") == k) & F.regexp_like("value", F.lit(_PLAUSIBLE[k]))), KINDS, F.lit(False))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("found_kind")).cast("int") - 1
-    chosen = named.where(fits).groupBy("row", "start", "value").agg(F.min("found_kind").alias("found_kind"))
+    chosen = named.where(_fits(F.col("found_kind"), F.col("value"))).groupBy("row", "start", "value").agg(F.min("found_kind").alias("found_kind"))
     # of candidates within each other the longest stays
     chosen = chosen.withColumn("end", F.col("start") + F.length("value"))
     before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

@@ -90,6 +90,17 @@ def test_unseen_numbers_with_blanks_and_labels(spark):
     assert [got[i].spans for i in range(50, 55)] == ["phone:13:26", "phone:8:22", "", "phone:9:20", "phone:9:22"]
 
 
+def test_discovered_instances_give_new_patterns(spark):
+    rows = [("phone", f"+1 555 010 {1000 + i}", ["1 call"]) for i in range(400)]
+    rows += [(None, f"555-01{10 + i}-77", ["1 call", "1 ring"]) for i in range(40)]
+    rows += [(None, f"555-02{10 + i}-77", ["1 ring", "1 dial"]) for i in range(6)]  # known from the second generation only
+    rows += [(None, f"555-01{10 + i}-77", ["1 dial"]) for i in range(20)]
+    rows += [(None, f"v{i}", ["1 call", "1 version"]) for i in range(8)]  # not plausible
+    spans = spark.createDataFrame(rows, "kind string, value string, patterns array<string>").repartition(3)
+    got = {r.pattern: r.found_kind for r in pii.confident_patterns(spans).collect()}
+    assert got == {"1 call": "phone", "1 ring": "phone", "1 dial": "phone"}
+
+
 def test_scanner_additions_and_redaction(spark, odd_docs):
     key = "ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY-----"
     docs = spark.createDataFrame([(1, key), (2, "é 0123456789abcdef0123 z"), (3, None), (4, "clean")], "doc_id long, text string")
