@@ -10,8 +10,8 @@ against two hubs (the most central member and the smallest id). Clusters that th
 several parts are compared exactly in blocks: members outside the largest part against everyone.
 
 Documents without words (null, empty or blank texts) have no shingles and link with nothing. Rows
-with equal ids are one document of that id only in the class they share; ids are meant to be
-unique. Null ids get a row with a null component and are kept. Only doc_id and text are read.
+with equal ids are one document of that id only in the class they share; ids are meant to be unique there.
+Null ids get a row with a null component and are kept. ``keep_first`` tells rows apart by keys of its own. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -229,6 +229,13 @@ def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = B
 
 
 def keep_first(df: DataFrame, k: int = 5, threshold: float = 0.8, **options) -> DataFrame:
-    """The rows of ``df`` less all but the smallest id of each component."""
-    gone = duplicates(df, k, threshold, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component of ``df``: the smallest id, null ids last. Texts without shingles stay.
+
+    Every row has a key of its own, so repeated rows and null ids count like other copies.
+    """
+    keyed = scratch(df.withColumn("__row_key", F.monotonically_increasing_id()), "near-keyed")
+    found = duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), k, threshold, **options)
+    ids = keyed.select("__row_key", F.col("doc_id").cast("long").alias("id"))
+    placed = ids.join(found.select(F.col("doc_id").alias("__row_key"), "component_id"), "__row_key")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row_key"))["__row_key"].alias("__row_key"))
+    return keyed.join(first.select("__row_key"), "__row_key", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

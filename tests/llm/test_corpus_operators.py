@@ -96,6 +96,14 @@ def test_near_duplicates(spark, odd_texts, odd_docs, no_docs, repeated_docs, mon
         assert near_dedup.duplicates(repeated_docs, k, threshold).count() == 8
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 80, 5000) for _ in range(3))
+    rows = [(1, a), (1, a), (4, a), (None, b), (None, b), (None, c), (9, c), (9, c), (7, ""), (None, "")]
+    kept = near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, a), (0, b), (9, c), (7, ""), (0, "")])
+
+
 def test_signatures_estimate():
     rng = random.Random(1)
     pool = [rng.getrandbits(64) for _ in range(4000)]
