@@ -4,7 +4,7 @@ The rules are parsed to syntax trees, joined under a leading "any bytes", made d
 subset construction and minimised. A text's bytes pass once through the transition array; each
 accepting state tells which rules have a match ending there. Runs of accepting positions give the
 matches' ends, the reversed rules' automata their leftmost starts, and an exact check of the span
-decides (lengths of captured parts).
+decides (lengths of captured parts). A private key's span goes on over the lines behind its header.
 
 Null and empty texts have no spans. Rows with equal or null ids each give a row. An empty table
 gives no rows. Other columns are not read.
@@ -28,14 +28,22 @@ from gridloom.llm.common import string_chunks
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: what the automaton runs; ``exact``: full check of a span, whose group 1 has ``least`` characters at least."""
+    """``pattern``: what the automaton runs; ``exact``: full check of a span, whose group 1 has ``least`` characters at least; ``follow``: what belongs to a span behind it."""
 
     kind: str
     pattern: str
     exact: str
     least: int = 0
+    follow: bytes = b""
 
 
+# Line ends may be escaped, as in JSON. Up to an END line all base64 belongs to the key; without one, lines of 32 characters or more and a shorter last one.
+_EOL = rb"[ \t]*+(?:\r?\n|(?:\\r)?\\n)"
+_ATTRIBUTES = rb"(?:" + _EOL + rb"[ \t]*+[A-Za-z0-9]++-[A-Za-z0-9-]++: [^\r\n\\]*+)*+"
+_PEM_ENDED = rb"(?:[A-Za-z0-9+/=\s]|\\[nr])*+-----END [A-Z ]*PRIVATE KEY-----"
+_PEM_OPEN = rb"(?:(?:" + _EOL + rb")++[ \t]*+[A-Za-z0-9+/]{32,}+=*+)++(?:" + _EOL + rb"[ \t]*+[A-Za-z0-9+/]++=*+)?+"
+_PEM_BODY = _ATTRIBUTES + rb"(?:" + _PEM_ENDED + rb"|" + _PEM_OPEN + rb")"
+
 #: Base rules first, in the order of the report; the others are the scanner's own additions.
 RULES = (
     Rule(
@@ -49,7 +57,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", r"(gh[pousr]_[A-Za-z0-9]+)", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", r"(xox[abprs]-[A-Za-z0-9-]+)", 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", r"(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 30),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 0),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 0, _PEM_BODY),
 )
 BASE = ("assign", "access", "hex")
 
@@ -252,6 +260,7 @@ class Scanner:
     forward: Automaton
     backward: tuple[Automaton, ...]
     exact: tuple[re.Pattern[str], ...]
+    follow: tuple[re.Pattern[bytes] | None, ...]
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) byte spans: per rule leftmost, longest, not overlapping; failing ones dropped."""
@@ -282,7 +291,9 @@ class Scanner:
                 floor = e + 1
                 m = self.exact[r].fullmatch(data[start : e + 1].decode("ascii"))
                 if m and len(m[1]) >= self.rules[r].least:
-                    spans.append((start, e + 1, r))
+                    if self.follow[r] and (body := self.follow[r].match(data, floor)):
+                        floor = body.end()
+                    spans.append((start, floor, r))
         return sorted(spans, key=lambda x: (x[0], x[2]))
 
     @staticmethod
@@ -300,7 +311,7 @@ class Scanner:
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     trees = [_Parser(r.pattern).parse() for r in rules]
-    return Scanner(rules, compile_rules(trees, True), tuple(compile_rules([_reverse(t)], False) for t in trees), tuple(re.compile(r.exact) for r in rules))
+    return Scanner(rules, compile_rules(trees, True), tuple(compile_rules([_reverse(t)], False) for t in trees), tuple(re.compile(r.exact) for r in rules), tuple(re.compile(r.follow) if r.follow else None for r in rules))
 
 
 # --- operators -----------------------------------------------------------------------------------

@@ -111,6 +111,24 @@ def test_scanner_additions_and_redaction(spark, odd_docs):
     assert secrets.redact_secrets(odd_docs).schema == odd_docs.schema
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    head, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEpAIBAAKCAQEA+/" * 3
+    texts = [
+        f"a {head}\n{line}\n{line}\nAb3/==\n{end} z",
+        f"a {head}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A\r\n\r\n{line}\r\nAb3=\r\n{end}\n{head}\n{line}\n{end} z",
+        f"a {head}\n{line}\n{line}\nAb3=\nand more words",
+        f'a "{head}\\n{line}\\n{end}\\n" z',
+        f"é {head} {line} {line} {end} z",
+        f"a {head}\nonly words follow here",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    want = ["a [SECRET] z", "a [SECRET]\n[SECRET] z", "a [SECRET]\nand more words", 'a "[SECRET]\\n" z', "é [SECRET] z", "a [SECRET]\nonly words follow here"]
+    assert [left[i] for i in range(6)] == want
+    spans = {r.doc_id: r.spans for r in secrets.secrets_report(docs).collect()}
+    assert spans[4] == f"pem:2:{len(texts[4]) - 2}"
+
+
 def test_automaton_is_minimal_and_deterministic():
     made = secrets.compile_rules([secrets._Parser("a(b|c)*d").parse()], False)
     assert len(made.masks) == 4  # start, middle, end, sink
