@@ -1,15 +1,17 @@
 """Log-likelihood of whole documents under a gated recurrent language model.
 
-Words of the training documents are counted over the whole corpus. The commonest form a short list
-in classes by frequency; all others belong to a class by their last two bytes. The network gives a
-softmax over classes, and within a short-list class a softmax over its words; within the other
-classes words have their corpus frequency, with one place for what was never seen. So every text
-has a probability.
+Words of the training documents are counted over the whole corpus. The commonest form a short list,
+as long as the square root of the number of training tokens, in classes by frequency; all others
+belong to a class by their last two bytes. The network gives a softmax over classes, and within a
+short-list class a softmax over its words; within the other classes words have their corpus
+frequency, with one place for what was never seen. So every text has a probability.
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
-across windows and set to zero where a document or a piece of a long one begins: first on a bounded number of documents in
-one task, then by every partition on all its training documents, whose weights are averaged. Scoring
-carries the state from a document's first token to its end.
+across windows and set to zero only where a document begins. Training documents are dealt by hash
+to shards, in an order by hash. A round trains every shard from the same weights, in a growing share
+of its documents, the last round in all of them; then the shards' changes are averaged. Scoring
+carries the state from a document's first token to its end. Nothing of this depends on how the table
+is partitioned, but for the rounding of sums.
 
 Words are kept as 64-bit hashes. Null and empty texts are an end token only. Rows with equal or
 null ids each give a row. Without training documents every text has its base score. An empty table
@@ -18,7 +20,7 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import io
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,130 +31,219 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import FlatText, crc_mod, flat_chunks, hash_spans, scratch
 
-#: Words whose counts go to the executors as a sorted array; the counts of others are joined.
+#: Words whose counts go to the executors as a sorted array, or twice the short list if that is more; the counts of others are joined.
 COMMON_WORDS = 1 << 19
-SHORT_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 32, 64
-SHORT = SHORT_CLASSES * CLASS_WORDS
-#: The end token's place among the input symbols.
-END = SHORT + TAIL_CLASSES
-HIDDEN = 24
-#: Documents of the first round of training, in one task: about so many, chosen by a hash of the id.
-WARM_DOCS = 2000
-WINDOW = 16
-#: Tokens after which training sets the state to zero within a document; scoring never does.
-PIECE = 2048
+TAIL_CLASSES = 96
+HIDDEN, EMBED, WINDOW = 24, 24, 16
+#: Share of a shard's documents that each round trains on, and its learning rate.
+ROUNDS = ((1 / 64, 0.02), (1 / 16, 0.02), (1 / 4, 0.015), (1.0, 0.01))
+#: The number of shards is the square root of the number of training tokens over this.
+SHARD_ROOT = 700
+#: Windows of one round in a shard, about: documents read side by side follow from it, within these bounds.
+UPDATES, LANES = 1000, (16, 512)
+#: The short list's output words step once in so many windows.
+WORD_STEP = 2
+#: Numbers in one slice of the weights, which one task adds up over all shards.
+SLICE = 1 << 16
 _LN10 = float(np.log(10))
 
 
 # --- the network --------------------------------------------------------------------------------
 
 
+@dataclass
+class Classes:
+    """Symbols: short-list words by rank, tail classes, the end token. ``cuts``: ranks at which classes begin, and the list's length."""
+
+    cuts: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.short, self.n = int(self.cuts[-1]), len(self.cuts) - 1
+        self.end = self.short + TAIL_CLASSES
+        self.of = np.concatenate([np.repeat(np.arange(self.n), np.diff(self.cuts)), self.n + np.arange(TAIL_CLASSES + 1)])
+
+    @classmethod
+    def by_frequency(cls, counts: np.ndarray) -> Classes:
+        """Classes of about equal sums of square roots of (descending) counts: common ones are small."""
+        if not len(counts):
+            return cls(np.zeros(1, np.int64))
+        n = max(1, int(0.6 * np.sqrt(len(counts))))
+        sums = np.cumsum(np.sqrt(counts))
+        inner = np.searchsorted(sums, sums[-1] * np.arange(1, n) / n, "right")
+        return cls(np.unique(np.concatenate([[0], inner, [len(counts)]])))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def new_weights(class_counts: np.ndarray, word_counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+def new_weights(classes: Classes, word_counts: np.ndarray, tail_counts: np.ndarray, ends: float, seed: int = 3) -> dict[str, np.ndarray]:
     """Starting weights; the biases give class and word frequencies."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
+    words = np.maximum(word_counts, 1.0)
+    by_class = np.add.reduceat(words, classes.cuts[:-1]) if classes.n else np.zeros(0)
+    all_classes = np.concatenate([by_class, tail_counts, [ends]]) + 1.0
     made = {
-        "x": rng.normal(0, 0.3, (END + 1, 3 * h)),
+        "x": rng.normal(0, 0.3, (classes.end + 1, EMBED)),
+        "p": rng.normal(0, 1 / np.sqrt(EMBED), (EMBED, 3 * h)),
         "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
         "b": np.concatenate([np.ones(h), np.zeros(2 * h)]),
-        "c": rng.normal(0, 0.05, (h, len(class_counts))),
-        "cb": np.log(class_counts + 1.0),
-        "w": rng.normal(0, 0.05, (SHORT_CLASSES, h, CLASS_WORDS)),
-        "wb": np.where(word_counts > 0, np.log(np.maximum(word_counts, 1)), -30.0).reshape(SHORT_CLASSES, CLASS_WORDS),
+        "c": rng.normal(0, 0.05, (h, len(all_classes))),
+        "cb": np.log(all_classes / all_classes.sum()),
+        "w": rng.normal(0, 0.05, (classes.short, h)),
+        "wb": np.log(words) - np.repeat(np.log(by_class), np.diff(classes.cuts)),
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray):
+def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, keep: bool = False):
     """Run the GRU over (time x lanes): the states before each token, the last state, what backpropagation needs."""
-    n, before, kept = HIDDEN, [], []
-    for t in range(len(tokens)):
-        h = h * ~fresh[t][:, None]
-        before.append(h)
-        x, r = w["x"][tokens[t]] + w["b"], h @ w["u"]
+    n, (long, wide) = HIDDEN, tokens.shape
+    inputs = (w["x"][tokens.reshape(-1)] @ w["p"] + w["b"]).reshape(long, wide, 3 * n)
+    before, kept, some = np.empty((long, wide, n), h.dtype), [], fresh.any(axis=1)
+    for t in range(long):
+        if some[t]:
+            h = h * ~fresh[t][:, None]
+        before[t] = h
+        x, r = inputs[t], h @ w["u"]
         gates = _sigmoid(x[:, : 2 * n] + r[:, : 2 * n])
         z, reset = gates[:, :n], gates[:, n:]
         new = np.tanh(x[:, 2 * n :] + reset * r[:, 2 * n :])
-        kept.append((z, reset, new, r[:, 2 * n :]))
+        if keep:
+            kept.append((z, reset, new, r[:, 2 * n :]))
         h = new + z * (h - new)
     return before, h, kept
 
 
-def _output(w: dict, states: np.ndarray, tokens: np.ndarray, grad: bool = False):
-    """Natural log-probability of each token's class and short-list word; gradients with ``grad``."""
-    cls = np.where(tokens < SHORT, tokens // CLASS_WORDS, tokens - SHORT + SHORT_CLASSES)
-    row = np.arange(len(tokens))
-    logp = _log_softmax(states @ w["c"] + w["cb"])
-    score = logp[row, cls].copy()
+def _pick(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log-probability of one place a row; ``x`` turns from logits into probabilities."""
+    x -= x.max(axis=1, keepdims=True)
+    at = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    return at - np.log(total)
+
+
+def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: dict | None = None):
+    """Natural log-probability of each token's class and short-list word. With ``word_grads``, which are added to, also gradients."""
+    cls, grad = classes.of[tokens], word_grads is not None
+    x = states @ w["c"] + w["cb"]
+    score = _pick(x, cls)
     grads, back = None, None
     if grad:
-        d = np.exp(logp)
-        d[row, cls] -= 1
-        back = d @ w["c"].T
-        grads = {"c": states.T @ d, "cb": d.sum(axis=0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-    short = np.flatnonzero(tokens < SHORT)
+        x[np.arange(len(x)), cls] -= 1
+        back = x @ w["c"].T
+        grads = {"c": states.T @ x, "cb": x.sum(axis=0)}
+    short = np.flatnonzero(tokens < classes.short)
     order = short[np.argsort(cls[short], kind="stable")]
-    cuts = np.searchsorted(cls[order], np.arange(SHORT_CLASSES + 1))
-    for k in range(SHORT_CLASSES):
-        pick = order[cuts[k] : cuts[k + 1]]
-        if len(pick):
-            own = states[pick]
-            lp = _log_softmax(own @ w["w"][k] + w["wb"][k])
-            place = tokens[pick] % CLASS_WORDS
-            score[pick] += lp[np.arange(len(pick)), place]
-            if grad:
-                d = np.exp(lp)
-                d[np.arange(len(pick)), place] -= 1
-                grads["w"][k], grads["wb"][k] = own.T @ d, d.sum(axis=0)
-                back[pick] += d @ w["w"][k].T
+    ends = np.searchsorted(cls[order], np.arange(classes.n + 1)).tolist()
+    states, tokens = states[order], tokens[order]
+    own_score, own_back = np.zeros(len(order), states.dtype), np.zeros((len(order), HIDDEN), states.dtype)
+    for k, (a, b) in enumerate(zip(classes.cuts[:-1].tolist(), classes.cuts[1:].tolist(), strict=True)):
+        i, j = ends[k], ends[k + 1]
+        if i == j or b - a == 1:  # nothing to tell apart
+            continue
+        own, place = states[i:j], tokens[i:j] - a
+        x = own @ w["w"][a:b].T + w["wb"][a:b]
+        own_score[i:j] = _pick(x, place)
+        if grad:
+            x[np.arange(j - i), place] -= 1
+            word_grads["w"][a:b] += x.T @ own
+            word_grads["wb"][a:b] += x.sum(axis=0)
+            own_back[i:j] = x @ w["w"][a:b]
+    score[order] += own_score
+    if grad:
+        back[order] += own_back
     return score, grads, back
 
 
-def _window_gradients(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray):
-    before, last, kept = _steps(w, h, tokens, fresh)
-    states = np.concatenate(before)
+def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, word_grads: dict):
+    """Scores, last state, dense gradients, and the input symbols' gradients as (symbols, rows)."""
+    before, last, kept = _steps(w, h, tokens, fresh, keep=True)
+    n, (long, wide) = HIDDEN, tokens.shape
     flat, on = tokens.reshape(-1), np.flatnonzero(live.reshape(-1))
-    score, grads, back_on = _output(w, states[on], flat[on], grad=True)
+    states = before.reshape(-1, n)
+    score, grads, back_on = _output(w, classes, states[on], flat[on], word_grads)
     back = np.zeros_like(states)
     back[on] = back_on
-    back = back.reshape(len(tokens), -1, HIDDEN)
-    n, dh = HIDDEN, np.zeros_like(h)
-    grads |= {"u": np.zeros_like(w["u"])}
-    dx_all = np.empty((len(tokens), tokens.shape[1], 3 * n), np.float32)
-    for t in range(len(tokens) - 1, -1, -1):
+    back = back.reshape(long, wide, n)
+    dh, du, some = np.zeros_like(h), np.zeros_like(w["u"]), fresh.any(axis=1)
+    dx_all, drec = np.empty((long, wide, 3 * n), h.dtype), np.empty((wide, 3 * n), h.dtype)
+    for t in range(long - 1, -1, -1):
         z, reset, new, rn = kept[t]
-        dnew, dz = dh * (1 - z), dh * (before[t] - new)
-        da = dnew * (1 - new * new)
-        dr = da * rn
         dx = dx_all[t]
-        dx[:, :n], dx[:, n : 2 * n], dx[:, 2 * n :] = dz * z * (1 - z), dr * reset * (1 - reset), da
-        drec = dx.copy()
-        drec[:, 2 * n :] *= reset
-        grads["u"] += before[t].T @ drec
-        dh = (dh * z + drec @ w["u"].T + back[t]) * ~fresh[t][:, None]
+        da = dx[:, 2 * n :]
+        np.multiply(dh * (1 - z), 1 - new * new, out=da)
+        np.multiply(dh * (before[t] - new) * z, 1 - z, out=dx[:, :n])
+        np.multiply(da * rn * reset, 1 - reset, out=dx[:, n : 2 * n])
+        drec[:, : 2 * n] = dx[:, : 2 * n]
+        np.multiply(da, reset, out=drec[:, 2 * n :])
+        du += before[t].T @ drec
+        dh = dh * z + drec @ w["u"].T + back[t]
+        if some[t]:
+            dh = dh * ~fresh[t][:, None]
     dx_all *= live[:, :, None]
-    flat_dx = dx_all.reshape(-1, 3 * n)
-    grads["x"] = np.zeros_like(w["x"])
+    dx = dx_all.reshape(-1, 3 * n)
     order = np.argsort(flat, kind="stable")
-    distinct, first = np.unique(flat[order], return_index=True)
-    grads["x"][distinct] = np.add.reduceat(flat_dx[order], first, axis=0)
-    grads["b"] = flat_dx.sum(axis=0)
-    return score, last, grads
+    symbols, first = np.unique(flat[order], return_index=True)
+    grads |= {"u": du, "b": dx.sum(axis=0), "p": w["x"][flat].T @ dx}
+    return score, last, grads, (symbols, np.add.reduceat((dx @ w["p"].T)[order], first, axis=0))
+
+
+class Adam:
+    """Steps on one set of weights; input symbols step where a window has them, output words once in WORD_STEP windows."""
+
+    def __init__(self, w: dict):
+        self.w = w
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.words = {k: np.zeros_like(w[k]) for k in ("w", "wb")}
+        self.n = self.word_steps = self.gathered = 0
+
+    def _dense(self, k: str, g: np.ndarray, rate: float, n: int) -> None:
+        m, v, f = self.m[k], self.v[k], np.float32
+        m *= f(0.9)
+        m += f(0.1) * g
+        g *= g
+        g *= f(0.01)
+        v *= f(0.99)
+        v += g
+        np.multiply(v, f(1 / (1 - 0.99**n)), out=g)
+        np.sqrt(g, out=g)
+        g += f(1e-7)
+        np.divide(m, g, out=g)
+        g *= f(rate / (1 - 0.9**n))
+        self.w[k] -= g
+
+    def step(self, grads: dict, symbols: np.ndarray, rows: np.ndarray, tokens: int, rate: float) -> None:
+        f = np.float32
+        self.n += 1
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()) + float(np.vdot(rows, rows))) / tokens
+        scale = f(min(1.0, 1.0 / max(norm, 1e-9)) / tokens)
+        for k, g in grads.items():
+            g *= scale
+            self._dense(k, g, rate, self.n)
+        rows *= scale
+        m, v = self.m["x"][symbols] * f(0.9) + f(0.1) * rows, self.v["x"][symbols] * f(0.99) + f(0.01) * rows * rows
+        self.m["x"][symbols], self.v["x"][symbols] = m, v
+        self.w["x"][symbols] -= f(rate / (1 - 0.9**self.n)) * m / (np.sqrt(v * f(1 / (1 - 0.99**self.n))) + f(1e-7))
+        self.gathered += tokens
+        if self.n % WORD_STEP == 0:
+            self.word_steps += 1
+            for k, g in self.words.items():
+                g *= f(1.0 / self.gathered)
+                self._dense(k, g, rate, self.word_steps)
+                g[:] = 0
+            self.gathered = 0
 
 
 def lanes(lengths: np.ndarray, n_lanes: int) -> list[list[int]]:
     """Documents dealt to lanes, longest first to the lane that holds least; lanes come longest first."""
-    import heapq
-
     heap = [(0, i) for i in range(min(n_lanes, max(1, len(lengths))))]
     dealt: list[list[int]] = [[] for _ in heap]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -163,62 +254,90 @@ def lanes(lengths: np.ndarray, n_lanes: int) -> list[list[int]]:
     return [dealt[i] for i in sorted(size, key=lambda i: -size[i]) if dealt[i]]
 
 
-def _board(tokens: np.ndarray, at: np.ndarray, dealt: list[list[int]]):
-    """(time x lanes) token positions, -1 where a lane is over, and where documents begin."""
-    columns = [np.concatenate([np.arange(at[d], at[d + 1]) for d in lane]) for lane in dealt]
-    long = max(len(c) for c in columns)
-    place = np.full((long, len(columns)), -1, np.int64)
-    for i, c in enumerate(columns):
-        place[: len(c), i] = c
-    begin = np.zeros(len(tokens) + 1, bool)
-    begin[at[:-1]] = True
-    return place, begin[place] & (place >= 0)
-
-
-def token_scores(w: dict, tokens: np.ndarray, at: np.ndarray, n_lanes: int = 512) -> np.ndarray:
+def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray, n_lanes: int = 512) -> np.ndarray:
     """log10 probability of each token's class and short-list word, documents each from a zero state."""
     out = np.zeros(len(tokens))
     if not len(tokens):
         return out
-    place, fresh = _board(tokens, at, lanes(np.diff(at), n_lanes))
+    columns = [np.concatenate([np.arange(at[d], at[d + 1]) for d in lane]) for lane in lanes(np.diff(at), n_lanes)]
+    place = np.full((max(len(c) for c in columns), len(columns)), -1, np.int64)
+    for i, c in enumerate(columns):
+        place[: len(c), i] = c
+    begin = np.zeros(len(tokens), bool)
+    begin[at[:-1]] = True
     h = np.zeros((place.shape[1], HIDDEN), np.float32)
     for a in range(0, len(place), WINDOW):
         on = int((place[a] >= 0).sum())  # lanes end in order
         p = place[a : a + WINDOW, :on]
-        before, last, _ = _steps(w, h[:on], tokens[np.maximum(p, 0)], fresh[a : a + WINDOW, :on])
+        at_p = np.maximum(p, 0)
+        before, last, _ = _steps(w, h[:on], tokens[at_p], begin[at_p])
         live = p.reshape(-1) >= 0
         spots = p.reshape(-1)[live]
-        out[spots] = _output(w, np.concatenate(before)[live], tokens[spots])[0] / _LN10
+        out[spots] = _output(w, classes, before.reshape(-1, HIDDEN)[live], tokens[spots])[0] / _LN10
         h[:on] = last
     return out
 
 
-def train(w: dict, tokens: np.ndarray, at: np.ndarray, n_lanes: int, rate: float, state: dict | None = None) -> tuple[dict, dict]:
-    """One pass of Adam over the documents; returns the weights and the optimiser's state."""
-    state = state or {"n": 0, "m": {k: np.zeros_like(v) for k, v in w.items()}, "v": {k: np.zeros_like(v) for k, v in w.items()}}
-    if not len(tokens):
-        return w, state
-    w = {k: v.copy() for k, v in w.items()}
-    # long documents are learnt in pieces, so that lanes stay even
-    at = np.unique(np.concatenate([at, *(np.arange(at[d], at[d + 1], PIECE) for d in np.flatnonzero(np.diff(at) > PIECE))]))
-    place, fresh = _board(tokens, at, lanes(np.diff(at), n_lanes))
-    h = np.zeros((place.shape[1], HIDDEN), np.float32)
-    for a in range(0, len(place), WINDOW):
-        on = int((place[a] >= 0).sum())
-        p = place[a : a + WINDOW, :on]
-        score, last, grads = _window_gradients(w, h[:on], tokens[np.maximum(p, 0)], fresh[a : a + WINDOW, :on], p >= 0)
-        h[:on] = last
-        n = max(1, len(score))
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
-        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
-        state["n"] += 1
-        fix1, fix2 = 1 - 0.9 ** state["n"], 1 - 0.99 ** state["n"]
-        for k, g in grads.items():
-            g = g * scale
-            state["m"][k] += 0.1 * (g - state["m"][k])
-            state["v"][k] += 0.01 * (g * g - state["v"][k])
-            w[k] -= np.float32(rate / fix1) * state["m"][k] / (np.sqrt(state["v"][k] / np.float32(fix2)) + 1e-7)
-    return w, state
+class Training:
+    """One shard's pass over documents that arrive in batches. Lanes read documents side by side, each
+    from its first token to its last; a lane takes the next document where one ends, so a long document
+    holds up no other lane."""
+
+    def __init__(self, w: dict, classes: Classes, n_lanes: int, rate: float, expected: float):
+        self.w, self.classes, self.rate, self.expected = {k: v.copy() for k, v in w.items()}, classes, rate, max(expected, 1.0)
+        self.adam = Adam(self.w)
+        self.queues: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, bool))] * n_lanes
+        self.h = np.zeros((n_lanes, HIDDEN), np.float32)
+        self.counts = np.zeros(classes.end + 1, np.int64)
+        self.done = 0
+
+    def feed(self, tokens: np.ndarray, at: np.ndarray) -> None:
+        """Documents, each of one token or more."""
+        self.counts += np.bincount(tokens, minlength=len(self.counts))
+        heap = [(len(q), i) for i, (q, _) in enumerate(self.queues)]
+        heapq.heapify(heap)
+        dealt: list[list[int]] = [[] for _ in heap]
+        lengths = np.diff(at)
+        for d in np.argsort(-lengths, kind="stable").tolist():
+            size, i = heapq.heappop(heap)
+            dealt[i].append(d)
+            heapq.heappush(heap, (size + int(lengths[d]), i))
+        begin = np.zeros(len(tokens), bool)
+        begin[at[:-1]] = True
+        for i, docs in enumerate(dealt):
+            if docs:
+                q, f = self.queues[i]
+                self.queues[i] = np.concatenate([q, *(tokens[at[d] : at[d + 1]] for d in docs)]), np.concatenate([f, *(begin[at[d] : at[d + 1]] for d in docs)])
+        ready = min(len(q) for q, _ in self.queues) // WINDOW * WINDOW
+        if ready:
+            rows, fresh = (np.stack([pair[x][:ready] for pair in self.queues], axis=1) for x in (0, 1))
+            for a in range(0, ready, WINDOW):
+                part = slice(a, a + WINDOW)
+                self.h = self._window(self.h, rows[part], fresh[part], np.ones_like(fresh[part]))
+            self.queues = [(q[ready:], f[ready:]) for q, f in self.queues]
+
+    def finish(self) -> None:
+        """What lanes still hold, the fullest first."""
+        order = sorted(range(len(self.queues)), key=lambda i: -len(self.queues[i][0]))
+        queues, h, at = [self.queues[i] for i in order], self.h[order], 0
+        sizes = np.array([len(q) for q, _ in queues])
+        while (on := int((sizes > at).sum())):
+            wide = min(WINDOW, int(sizes[0]) - at)
+            rows, fresh, live = np.zeros((wide, on), np.int64), np.zeros((wide, on), bool), np.zeros((wide, on), bool)
+            for i, (q, f) in enumerate(queues[:on]):
+                part = q[at : at + wide]
+                rows[: len(part), i], fresh[: len(part), i], live[: len(part), i] = part, f[at : at + wide], True
+            h[:on] = self._window(h[:on], rows, fresh, live)
+            at += wide
+        self.queues = [(np.zeros(0, np.int64), np.zeros(0, bool))] * len(queues)
+
+    def _window(self, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray) -> np.ndarray:
+        score, last, grads, sparse = _window_gradients(self.w, self.classes, h, tokens, fresh, live, self.adam.words)
+        # towards a tenth of the rate at the end; windows of few lanes step less
+        rate = self.rate * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, 4 * len(score) / (WINDOW * len(self.queues)))
+        self.adam.step(grads, *sparse, len(score), rate)
+        self.done += len(score)
+        return last
 
 
 # --- words ---------------------------------------------------------------------------------------
@@ -242,18 +361,20 @@ class Vocabulary:
     symbols: np.ndarray  # of the common words: place in the short list, or -1
     suffix_class: np.ndarray
     tail_norm: np.ndarray  # log10(N_k + V_k + 1)
+    classes: Classes
     total: int
     distinct: int
     ends: int
 
     def look_up(self, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each word, and its count or -1 if it isn't common."""
+        tail = self.classes.short + self.suffix_class[suffix]
         if not len(self.hashes):
-            return SHORT + self.suffix_class[suffix], np.full(len(h), -1, np.int64)
+            return tail, np.full(len(h), -1, np.int64)
         spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[spot] == h
         symbol = np.where(hit, self.symbols[spot], -1)
-        return np.where(symbol >= 0, symbol, SHORT + self.suffix_class[suffix]), np.where(hit, self.counts[spot], -1)
+        return np.where(symbol >= 0, symbol, tail), np.where(hit, self.counts[spot], -1)
 
 
 def _with_ends(values: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,18 +398,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def build_vocabulary(counted: DataFrame, n_docs: int) -> tuple[Vocabulary, int]:
     """The vocabulary, and the least count of its common words."""
     sizes = sorted(((r.c, r.n) for r in counted.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    words, tokens = sum(n for _, n in sizes), sum(c * n for c, n in sizes)
+    short = min(words, int(np.sqrt(tokens + n_docs)))
     least, held = 1 << 62, 0
     for c, n in sizes:
-        if held + n > COMMON_WORDS:
+        if held + n > max(COMMON_WORDS, 2 * short):
             break
         least, held = c, held + n
-    words, tokens = sum(n for _, n in sizes), sum(c * n for c, n in sizes)
     table = counted.where(F.col("c") >= least).select("h", "suffix", "c").toArrow()
     h, suffix, c = (table.column(k).to_numpy() for k in ("h", "suffix", "c"))
     h = h.astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, suffix, c = h[order], suffix[order], c[order]
-    top = np.lexsort((h, -c))[:SHORT]
+    top = np.lexsort((h, -c))[:short]
     symbols = np.full(len(h), -1, np.int64)
     symbols[top] = np.arange(len(top))
     by_suffix = counted.groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -301,82 +423,98 @@ def build_vocabulary(counted: DataFrame, n_docs: int) -> tuple[Vocabulary, int]:
     leading = np.lexsort((np.arange(65536), -tail_c))[: TAIL_CLASSES - 1]
     suffix_class[leading] = np.arange(TAIL_CLASSES - 1)
     norm = np.bincount(suffix_class, tail_c + tail_n, TAIL_CLASSES) + 1
-    vocabulary = Vocabulary(h, c, symbols, suffix_class, np.log10(norm), tokens + n_docs, words + (n_docs > 0), n_docs)
+    vocabulary = Vocabulary(h, c, symbols, suffix_class, np.log10(norm), Classes.by_frequency(c[top]), tokens + n_docs, words + (n_docs > 0), n_docs)
     return vocabulary, least
 
 
-def _pack(w: dict) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **w)
-    return out.getvalue()
-
-
-def _unpack(raw: bytes) -> dict:
-    return dict(np.load(io.BytesIO(raw)))
-
-
 def _tokens(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     parts, ends, total = [], [np.zeros(1, np.int64)], 0
     for _, _, flat in flat_chunks(column, lower=True):
         h, suffix, at = _words(flat)
-        symbols, at = _with_ends(vocabulary.look_up(h, suffix)[0], at, END)
+        symbols, at = _with_ends(vocabulary.look_up(h, suffix)[0], at, vocabulary.classes.end)
         parts.append(symbols)
         ends.append(at[1:] + total)
         total += len(symbols)
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(ends)
 
 
-def fit_network(train_docs: DataFrame, n_docs: int, vocabulary: Vocabulary, shared, seed: int = 9) -> tuple[dict, int]:
-    """Weights after the bounded first round and the partitions' averaged round, and the tokens that the latter learnt from."""
-    spark = train_docs.sparkSession
-    word_c = np.zeros(SHORT)
+def _flatten(w: dict) -> np.ndarray:
+    return np.concatenate([w[k].reshape(-1) for k in sorted(w)])
+
+
+def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int = 9) -> tuple[dict, int]:
+    """The weights after all rounds, and the tokens that the last one learnt from."""
+    spark, classes = train_docs.sparkSession, vocabulary.classes
     listed = np.flatnonzero(vocabulary.symbols >= 0)
+    word_c = np.zeros(classes.short)
     word_c[vocabulary.symbols[listed]] = vocabulary.counts[listed]
-    tail_c = 10.0 ** vocabulary.tail_norm
-    start = new_weights(np.concatenate([word_c.reshape(SHORT_CLASSES, CLASS_WORDS).sum(axis=1), tail_c, [vocabulary.ends]]), word_c)
-    # about WARM_DOCS documents by hash, or all if there are fewer; only these go to the one task
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
-    warm = train_docs.where(drawn < int((1 << 40) * min(1.0, WARM_DOCS / max(n_docs, 1)))).select("text").repartition(1)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is not None and table.num_rows:
-            tokens, at = _tokens(table.column(0), shared.value)
-            w, state = start, None
-            for rate in (0.01, 0.006, 0.003):
-                w, state = train(w, tokens, at, 32, rate, state)
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(w)], pa.binary())], ["w"])
-
-    found = warm.mapInArrow(first, "w binary").collect()
-    warmed = _unpack(found[0].w) if found else start
-    sent = spark.sparkContext.broadcast(warmed)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, state, n = sent.value, None, 0
-        for batch in batches:
-            tokens, at = _tokens(batch.column(0), shared.value)
-            w, state = train(w, tokens, at, 256, 0.002, state)
-            n += len(tokens)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack({k: v * n for k, v in w.items()})], pa.binary()), pa.array([n])], ["w", "n"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            for raw, count in zip(batch.column(0), batch.column(1), strict=True):
-                one = {k: v.astype(np.float64) for k, v in _unpack(raw.as_py()).items()}
-                total = one if total is None else {k: total[k] + v for k, v in one.items()}
-                n += count.as_py()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(total)], pa.binary()), pa.array([n])], ["w", "n"])
+    w = new_weights(classes, word_c, 10.0**vocabulary.tail_norm, vocabulary.ends)
+    n_shards = max(1, int(np.sqrt(vocabulary.total) / SHARD_ROOT))
+    drawn = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id()), "text")
+    keyed = train_docs.select(F.pmod(drawn, F.lit(n_shards)).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn), 24).alias("u"), "text")
 
-    sums = train_docs.select("text").mapInArrow(own, "w binary, n long").repartition(4).mapInArrow(added, "w binary, n long").collect()
-    if not sums:
-        return warmed, 0
-    n = sum(r.n for r in sums)
-    parts = [_unpack(r.w) for r in sums]
-    return {k: (sum(p[k] for p in parts) / n).astype(np.float32) for k in warmed}, n
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, at = _tokens(batch.column(2), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at.astype(np.int32), tokens.astype(np.int32))], ["shard", "u", "tokens"])
+
+    texts = scratch(keyed.mapInArrow(coded, "shard int, u long, tokens array<int>"), "lm-tokens")
+    learnt = 0
+    for share, rate in ROUNDS:
+        expected = vocabulary.total * share / n_shards
+        n_lanes = int(np.clip(expected / WINDOW / UPDATES, *LANES))
+        sent = spark.sparkContext.broadcast(w)
+
+        def trained(batches: Iterator[pa.RecordBatch], sent=sent, n_lanes=n_lanes, rate=rate, expected=expected) -> Iterator[pa.RecordBatch]:
+            now, shard = None, -1
+
+            def changes() -> Iterator[pa.RecordBatch]:
+                # a symbol's row weighs as often as the shard has it, all else as the shard has tokens
+                now.finish()
+                n = int(now.counts.sum())
+                moved = {k: (now.w[k] - sent.value[k]) * (now.counts[:, None] if k == "x" else n) for k in now.w}
+                flat = np.concatenate([[n], now.counts, _flatten(moved)])
+                parts = [flat[a : a + SLICE].astype(np.float32).tobytes() for a in range(0, len(flat), SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), shard, np.int32)), pa.array(parts, pa.binary())], ["slice", "shard", "part"])
+
+            for batch in batches:
+                of, lists = batch.column(0).to_numpy(), batch.column(2)
+                flat, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+                ends -= ends[0]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if a == b:
+                        continue
+                    if of[a] != shard:
+                        if now is not None:
+                            yield from changes()
+                        now, shard = Training(sent.value, classes, n_lanes, rate, expected), int(of[a])
+                    now.feed(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+            if now is not None:
+                yield from changes()
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                    part = np.frombuffer(raw.as_buffer(), np.float32)
+                    total[k] = total[k] + part if k in total else part.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "part"])
+
+        mine = texts.where(F.col("u") < int(share * (1 << 40))).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "u")
+        parts = mine.mapInArrow(trained, "slice int, shard int, part binary").repartition(F.col("slice")).sortWithinPartitions("slice", "shard")
+        sums = sorted(parts.mapInArrow(added, "slice int, part binary").collect(), key=lambda r: r["slice"])
+        sent.unpersist()
+        if not sums:
+            continue
+        flat = np.concatenate([np.frombuffer(r["part"]) for r in sums])
+        learnt, counts, flat = int(flat[0]), np.maximum(flat[1 : classes.end + 2], 1), flat[classes.end + 2 :]
+        at = 0
+        for k in sorted(w):
+            moved = flat[at : at + w[k].size].reshape(w[k].shape)
+            at += w[k].size
+            w[k] = (w[k] + moved / (counts[:, None] if k == "x" else max(learnt, 1))).astype(np.float32)
+    return w, learnt
 
 
 def score_documents(df: DataFrame, held_out: Column | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -389,7 +527,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
     vocabulary, least = build_vocabulary(counted, n_docs)
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(fit_network(train_docs, n_docs, vocabulary, shared)[0])
+    weights = spark.sparkContext.broadcast(fit_network(train_docs, vocabulary, shared)[0])
     log_all = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,14 +537,14 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
             for _, _, flat in flat_chunks(batch.column(2), lower=True):
                 h, suffix, at = _words(flat)
                 symbol, count = known.look_up(h, suffix)
-                tail = symbol >= SHORT
+                tail = symbol >= known.classes.short
                 n, doc = np.diff(at), np.repeat(np.arange(flat.n), np.diff(at))
                 common = count >= 0
                 logs = np.where(common, np.log10(np.maximum(count, 0) + 1.0), 0.0)
                 rare = np.flatnonzero(~common)
                 rare_at = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=flat.n))])
                 end_log = np.log10(known.ends + 1.0)
-                norm = known.tail_norm[np.maximum(symbol - SHORT, 0)]
+                norm = known.tail_norm[np.maximum(symbol - known.classes.short, 0)]
                 parts.append(
                     (
                         n + 1,
@@ -417,7 +555,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
                         np.diff(rare_at),
                     )
                 )
-                s, ends = _with_ends(symbol, at, END)
+                s, ends = _with_ends(symbol, at, known.classes.end)
                 symbols.append(s)
                 suffixes.append(np.diff(ends))
             if not parts:
@@ -425,7 +563,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
             n, hit, base, tail, rare, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             tokens, size = np.concatenate(symbols), np.concatenate(suffixes)
             at = np.concatenate([[0], np.cumsum(size)])
-            net = np.bincount(np.repeat(np.arange(len(size)), size), token_scores(w, tokens, at), len(size))
+            net = np.bincount(np.repeat(np.arange(len(size)), size), token_scores(w, known.classes, tokens, at), len(size))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), rare)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(hit), pa.array(base), pa.array(net + tail), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "net", "rare"])
 

@@ -177,20 +177,37 @@ def test_isotonic():
 # --- language model ----------------------------------------------------------------------------------
 
 
+def some_weights(rng, dtype=np.float32):
+    classes = lm_scoring.Classes.by_frequency(np.sort(rng.integers(1, 900, 300))[::-1])
+    counts = rng.integers(1, 9, classes.short)
+    w = lm_scoring.new_weights(classes, counts, rng.integers(1, 9, lm_scoring.TAIL_CLASSES), 3)
+    return classes, {k: v.astype(dtype) for k, v in w.items()}
+
+
+def test_classes_cover_the_short_list():
+    for n in (0, 1, 2, 50, 3000):
+        classes = lm_scoring.Classes.by_frequency(1000 // np.arange(1, n + 1) + 1)
+        assert classes.short == n and len(classes.of) == n + lm_scoring.TAIL_CLASSES + 1
+        assert (np.diff(classes.of) >= 0).all() and (np.diff(classes.cuts) > 0).all()
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
-    w = {k: v.astype(np.float64) for k, v in lm_scoring.new_weights(rng.integers(1, 9, lm_scoring.SHORT_CLASSES + lm_scoring.TAIL_CLASSES + 1), rng.integers(1, 9, lm_scoring.SHORT)).items()}
-    tokens = rng.integers(0, lm_scoring.END + 1, (5, 3))
+    classes, w = some_weights(rng, np.float64)
+    tokens = rng.integers(0, classes.end + 1, (5, 3))
     fresh = rng.random((5, 3)) < 0.3
     live = np.ones((5, 3), bool)
     live[3:, 2] = False
     h = rng.normal(size=(3, lm_scoring.HIDDEN))
-    _, _, grads = lm_scoring._window_gradients(w, h, tokens, fresh, live)
+    words = {k: np.zeros_like(w[k]) for k in ("w", "wb")}
+    _, _, grads, (symbols, rows) = lm_scoring._window_gradients(w, classes, h, tokens, fresh, live, words)
+    grads |= words | {"x": np.zeros_like(w["x"])}
+    grads["x"][symbols] = rows
 
     def loss() -> float:
         before, _, _ = lm_scoring._steps(w, h, tokens, fresh)
         on = live.reshape(-1)
-        return -lm_scoring._output(w, np.concatenate(before)[on], tokens.reshape(-1)[on])[0].sum()
+        return -lm_scoring._output(w, classes, before.reshape(-1, lm_scoring.HIDDEN)[on], tokens.reshape(-1)[on])[0].sum()
 
     for k, v in w.items():
         flat, g = v.reshape(-1), grads[k].reshape(-1)
@@ -220,22 +237,61 @@ def test_lm_base_and_gain(spark, odd_docs, odd_texts, no_docs, repeated_docs):
     assert lm_scoring.score_documents(repeated_docs).count() == 8
 
 
-def test_network_learns_from_all_training_documents(spark):
-    docs = spark.createDataFrame([(i, f"w{i % 7} x y{i % 3}") for i in range(400)], "doc_id long, text string").repartition(4)
-    vocabulary, _ = lm_scoring.build_vocabulary(lm_scoring.word_counts(docs), 400)
+def test_scores_without_training_documents(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = lm_scoring.score_documents(spark.createDataFrame([(i, f"a b {i}") for i in held], "doc_id long, text string")).collect()
+    assert len(rows) == len(held) and all(r.score == r.base_score and r.train_tokens == r.n_known == 0 for r in rows)
+
+
+@pytest.fixture
+def many_shards(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_ROOT", 12)  # so that small tables have several
+
+
+def test_network_learns_from_all_training_documents(spark, many_shards):
+    rows = [(i, f"w{i % 7} x y{i % 3}" if i else "long " * 5000) for i in range(400)] + [(None, "x y"), (None, "x y"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    vocabulary, _ = lm_scoring.build_vocabulary(lm_scoring.word_counts(docs), 403)
     shared = spark.sparkContext.broadcast(vocabulary)
-    _, learnt = lm_scoring.fit_network(docs, 400, vocabulary, shared)
-    assert learnt == vocabulary.total == 1600
+    _, learnt = lm_scoring.fit_network(docs, vocabulary, shared)
+    assert learnt == vocabulary.total == 399 * 4 + 5001 + 3 + 3 + 1
+
+
+def test_scores_do_not_depend_on_partitions(spark, odd_docs, many_shards):
+    one, two = ({r.doc_id: r for r in lm_scoring.score_documents(odd_docs.repartition(n)).collect()} for n in (1, 6))
+    assert all(abs(one[i].score - two[i].score) < 1e-3 + 1e-5 * abs(two[i].score) for i in one)
+
+
+def test_held_out_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = lm_scoring.score_documents(docs).where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens"), F.count("*")).first()
+    assert held[1] > 1000 and held[0] > 0.48
+
+
+def test_training_carries_state_over_batches():
+    """A document fed alone, and after others, in batches: every token is learnt once, and lanes stay apart."""
+    rng = np.random.default_rng(6)
+    classes, w = some_weights(rng)
+    tokens = rng.integers(0, classes.end + 1, 900)
+    at = np.array([0, 500, 501, 620, 900])
+    run = lm_scoring.Training(w, classes, 2, 0.01, 900)
+    seen = []
+    run._window = lambda h, t, fresh, live, real=run._window: (seen.append((t, fresh, live)), real(h, t, fresh, live))[1]
+    for a, b in ((0, 1), (1, 3), (3, 4)):
+        run.feed(tokens[at[a] : at[b]], at[a : b + 1] - at[a])
+    run.finish()
+    assert run.done == 900 and sum(int(f[v].sum()) for _, f, v in seen) == 4
+    assert sorted(np.concatenate([t[v] for t, _, v in seen]).tolist()) == sorted(tokens.tolist())
 
 
 def test_state_is_carried():
     rng = np.random.default_rng(4)
-    w = lm_scoring.new_weights(rng.integers(1, 9, lm_scoring.SHORT_CLASSES + lm_scoring.TAIL_CLASSES + 1), rng.integers(1, 9, lm_scoring.SHORT))
-    tokens = rng.integers(0, lm_scoring.END + 1, 300)
+    classes, w = some_weights(rng)
+    tokens = rng.integers(0, classes.end + 1, 300)
     at = np.array([0, 100, 101, 101, 300])
-    one = lm_scoring.token_scores(w, tokens, at, 3)
+    one = lm_scoring.token_scores(w, classes, tokens, at, 3)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        alone = lm_scoring.token_scores(w, tokens[a:b], np.array([0, b - a]), 1)
+        alone = lm_scoring.token_scores(w, classes, tokens[a:b], np.array([0, b - a]), 1)
         assert np.allclose(one[a:b], alone, atol=1e-4)
 
 
