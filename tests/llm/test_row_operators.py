@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, lm_scoring, pii, quality, secrets
+from tests.llm.conftest import words
 
 
 def luhn(digits: str) -> bool:
@@ -101,6 +102,26 @@ def test_discovered_instances_give_new_patterns(spark):
     assert got == {"1 call": "phone", "1 ring": "phone", "1 dial": "phone"}
 
 
+def test_hidden_seeds_are_found_again(spark):
+    """A fifth of all identifiers is hidden from the base patterns; contexts and shapes find most of them, and nothing else."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        local = f"{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}-{rng.randrange(10, 99)}"
+        rows.append((i, f"{words(rng, 9)} {rng.choice(['Phone:', 'phone number is', 'please call', 'Telephone: home'])} +1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} {words(rng, 5)}"))
+        rows.append((1000 + i, f"{words(rng, 9)} write to u{rng.randrange(10**6)}@mail{i % 3}.example.com {words(rng, 5)} {rng.randrange(10**5)}"))
+        rows.append((2000 + i, f"{words(rng, 9)}\nhost: the one at 10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)} {words(rng, 5)}"))
+        rows.append((3000 + i, f"{words(rng, 9)} part {local} in room {rng.randrange(10**7, 10**8)} {words(rng, 5)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    flat = lambda df, c: {(r.doc_id, r.s.kind, r.s.start, r.s.end) for r in df.select("doc_id", F.explode(c).alias("s")).collect()}
+    hide = lambda s: F.pmod(F.xxhash64(s["value"]), F.lit(5)) == 1
+    every, part = flat(pii.find_pii(docs), "base"), pii.find_pii(docs, hide)
+    shown, found = flat(part, "base"), flat(part, "found")
+    hidden = every - shown
+    assert len(hidden) > 120 and shown <= every and found <= every
+    assert len(hidden & found) > 0.9 * len(hidden)
+
+
 def test_scanner_additions_and_redaction(spark, odd_docs):
     key = "ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY-----"
     docs = spark.createDataFrame([(1, key), (2, "é 0123456789abcdef0123 z"), (3, None), (4, "clean")], "doc_id long, text string")
