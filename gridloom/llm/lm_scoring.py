@@ -8,8 +8,8 @@ frequency, with one place for what was never seen. So every text has a probabili
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
 across windows and set to zero only where a document begins. Training documents are dealt by hash
-to shards, in an order by hash. A round trains every shard from the same weights, in a growing share
-of its documents, the last round in all of them; then the shards' changes are averaged. Scoring
+to shards, in an order by hash. A round trains every shard from the same weights on the next, ever
+larger share of its documents, until all are learnt; then the shards' changes are averaged. Scoring
 carries the state from a document's first token to its end. Nothing of this depends on how the table
 is partitioned, but for the rounding of sums.
 
@@ -35,12 +35,12 @@ from gridloom.llm.common import FlatText, crc_mod, flat_chunks, hash_spans, scra
 COMMON_WORDS = 1 << 19
 TAIL_CLASSES = 96
 HIDDEN, EMBED, WINDOW = 24, 24, 16
-#: Share of a shard's documents that each round trains on, and its learning rate.
+#: The share of a shard's documents that are learnt after each round, and the round's learning rate.
 ROUNDS = ((1 / 64, 0.02), (1 / 16, 0.02), (1 / 4, 0.015), (1.0, 0.01))
 #: The number of shards is the square root of the number of training tokens over this.
 SHARD_ROOT = 700
-#: Windows of one round in a shard, about: documents read side by side follow from it, within these bounds.
-UPDATES, LANES = 1000, (16, 512)
+#: Windows of one round in a shard, about: the number of documents read side by side follows from it, within these bounds.
+UPDATES, LANES = 400, (16, 512)
 #: The short list's output words step once in so many windows.
 WORD_STEP = 2
 #: Numbers in one slice of the weights, which one task adds up over all shards.
@@ -82,7 +82,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_weights(classes: Classes, word_counts: np.ndarray, tail_counts: np.ndarray, ends: float, seed: int = 3) -> dict[str, np.ndarray]:
-    """Starting weights; the biases give class and word frequencies."""
+    """Starting weights; the biases (last row of c, last column of w) give class and word frequencies."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
     words = np.maximum(word_counts, 1.0)
@@ -93,23 +93,24 @@ def new_weights(classes: Classes, word_counts: np.ndarray, tail_counts: np.ndarr
         "p": rng.normal(0, 1 / np.sqrt(EMBED), (EMBED, 3 * h)),
         "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
         "b": np.concatenate([np.ones(h), np.zeros(2 * h)]),
-        "c": rng.normal(0, 0.05, (h, len(all_classes))),
-        "cb": np.log(all_classes / all_classes.sum()),
-        "w": rng.normal(0, 0.05, (classes.short, h)),
-        "wb": np.log(words) - np.repeat(np.log(by_class), np.diff(classes.cuts)),
+        "c": np.concatenate([rng.normal(0, 0.05, (h, len(all_classes))), np.log(all_classes / all_classes.sum())[None, :]]),
+        "w": np.concatenate([rng.normal(0, 0.05, (classes.short, h)), (np.log(words) - np.repeat(np.log(by_class), np.diff(classes.cuts)))[:, None]], axis=1),
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
 def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, keep: bool = False):
-    """Run the GRU over (time x lanes): the states before each token, the last state, what backpropagation needs."""
+    """Run the GRU over (time x lanes): the states before each token with a 1 behind, the last state, what backpropagation needs."""
     n, (long, wide) = HIDDEN, tokens.shape
-    inputs = (w["x"][tokens.reshape(-1)] @ w["p"] + w["b"]).reshape(long, wide, 3 * n)
-    before, kept, some = np.empty((long, wide, n), h.dtype), [], fresh.any(axis=1)
+    rows = w["x"][tokens.reshape(-1)]
+    inputs = rows @ w["p"]
+    inputs += w["b"]
+    inputs = inputs.reshape(long, wide, 3 * n)
+    before, kept, some = np.ones((long, wide, n + 1), h.dtype), [], fresh.any(axis=1)
     for t in range(long):
         if some[t]:
             h = h * ~fresh[t][:, None]
-        before[t] = h
+        before[t, :, :n] = h
         x, r = inputs[t], h @ w["u"]
         gates = _sigmoid(x[:, : 2 * n] + r[:, : 2 * n])
         z, reset = gates[:, :n], gates[:, n:]
@@ -117,83 +118,101 @@ def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, keep:
         if keep:
             kept.append((z, reset, new, r[:, 2 * n :]))
         h = new + z * (h - new)
-    return before, h, kept
+    return before, h, (kept, rows)
 
 
-def _pick(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log-probability of one place a row; ``x`` turns from logits into probabilities."""
-    x -= x.max(axis=1, keepdims=True)
+def bounded(w: dict, classes: Classes) -> bool:
+    """Whether no state, whose components lie between -1 and 1, takes a softmax out of the range of exp."""
+    reach, bias = np.abs(w["c"][:-1]).sum(axis=0).max(), w["c"][-1].max()
+    ok = reach + abs(bias) < 80
+    if classes.n:
+        reach, bias = np.abs(w["w"][:, :-1]).sum(axis=1).max(), np.maximum.reduceat(w["w"][:, -1], classes.cuts[:-1])
+        ok &= reach + np.abs(bias).max() < 80
+    return bool(ok)
+
+
+def _softmax(x: np.ndarray, place: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of one place a row, and rows' sums; ``x`` turns from logits into their exponentials."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
     at = x[np.arange(len(x)), place]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    return at - np.log(total)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return at - np.log(total), total
 
 
-def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: dict | None = None):
+def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: np.ndarray | None = None, safe: bool = False):
     """Natural log-probability of each token's class and short-list word. With ``word_grads``, which are added to, also gradients."""
     cls, grad = classes.of[tokens], word_grads is not None
-    x = states @ w["c"] + w["cb"]
-    score = _pick(x, cls)
-    grads, back = None, None
+    x = states @ w["c"]
+    score, total = _softmax(x, cls, safe)
+    dc, back = None, None
     if grad:
-        x[np.arange(len(x)), cls] -= 1
-        back = x @ w["c"].T
-        grads = {"c": states.T @ x, "cb": x.sum(axis=0)}
+        x[np.arange(len(x)), cls] -= total
+        part = 1 / total[:, None]
+        back, dc = (x @ w["c"][:-1].T) * part, (states * part).T @ x
     short = np.flatnonzero(tokens < classes.short)
     order = short[np.argsort(cls[short], kind="stable")]
     ends = np.searchsorted(cls[order], np.arange(classes.n + 1)).tolist()
     states, tokens = states[order], tokens[order]
-    own_score, own_back = np.zeros(len(order), states.dtype), np.zeros((len(order), HIDDEN), states.dtype)
+    own_score, own_back = np.zeros(len(order), states.dtype), np.zeros((len(order) if grad else 0, HIDDEN), states.dtype)
     for k, (a, b) in enumerate(zip(classes.cuts[:-1].tolist(), classes.cuts[1:].tolist(), strict=True)):
         i, j = ends[k], ends[k + 1]
         if i == j or b - a == 1:  # nothing to tell apart
             continue
-        own, place = states[i:j], tokens[i:j] - a
-        x = own @ w["w"][a:b].T + w["wb"][a:b]
-        own_score[i:j] = _pick(x, place)
+        own, place, weights = states[i:j], tokens[i:j] - a, w["w"][a:b]
+        x = own @ weights.T
+        own_score[i:j], total = _softmax(x, place, safe)
         if grad:
-            x[np.arange(j - i), place] -= 1
-            word_grads["w"][a:b] += x.T @ own
-            word_grads["wb"][a:b] += x.sum(axis=0)
-            own_back[i:j] = x @ w["w"][a:b]
+            x[np.arange(j - i), place] -= total
+            part = 1 / total[:, None]
+            word_grads[a:b] += x.T @ (own * part)
+            own_back[i:j] = (x @ weights[:, :-1]) * part
     score[order] += own_score
     if grad:
         back[order] += own_back
-    return score, grads, back
+    return score, dc, back
 
 
-def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, word_grads: dict):
+def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, word_grads: np.ndarray, safe: bool = False):
     """Scores, last state, dense gradients, and the input symbols' gradients as (symbols, rows)."""
-    before, last, kept = _steps(w, h, tokens, fresh, keep=True)
+    before, last, (kept, rows) = _steps(w, h, tokens, fresh, keep=True)
     n, (long, wide) = HIDDEN, tokens.shape
-    flat, on = tokens.reshape(-1), np.flatnonzero(live.reshape(-1))
-    states = before.reshape(-1, n)
-    score, grads, back_on = _output(w, classes, states[on], flat[on], word_grads)
-    back = np.zeros_like(states)
-    back[on] = back_on
+    flat, whole = tokens.reshape(-1), bool(live.all())
+    states = before.reshape(-1, n + 1)
+    if whole:
+        score, dc, back = _output(w, classes, states, flat, word_grads, safe)
+    else:
+        on = np.flatnonzero(live.reshape(-1))
+        score, dc, back_on = _output(w, classes, states[on], flat[on], word_grads, safe)
+        back = np.zeros((len(flat), n), h.dtype)
+        back[on] = back_on
     back = back.reshape(long, wide, n)
-    dh, du, some = np.zeros_like(h), np.zeros_like(w["u"]), fresh.any(axis=1)
+    dh, du, some, back_u = np.zeros_like(h), np.zeros_like(w["u"]), fresh.any(axis=1), np.ascontiguousarray(w["u"].T)
     dx_all, drec = np.empty((long, wide, 3 * n), h.dtype), np.empty((wide, 3 * n), h.dtype)
     for t in range(long - 1, -1, -1):
         z, reset, new, rn = kept[t]
-        dx = dx_all[t]
+        dx, own = dx_all[t], before[t, :, :n]
         da = dx[:, 2 * n :]
         np.multiply(dh * (1 - z), 1 - new * new, out=da)
-        np.multiply(dh * (before[t] - new) * z, 1 - z, out=dx[:, :n])
+        np.multiply(dh * (own - new) * z, 1 - z, out=dx[:, :n])
         np.multiply(da * rn * reset, 1 - reset, out=dx[:, n : 2 * n])
         drec[:, : 2 * n] = dx[:, : 2 * n]
         np.multiply(da, reset, out=drec[:, 2 * n :])
-        du += before[t].T @ drec
-        dh = dh * z + drec @ w["u"].T + back[t]
+        du += own.T @ drec
+        dh *= z
+        dh += drec @ back_u
+        dh += back[t]
         if some[t]:
-            dh = dh * ~fresh[t][:, None]
-    dx_all *= live[:, :, None]
+            dh *= ~fresh[t][:, None]
+    if not whole:
+        dx_all *= live[:, :, None]
     dx = dx_all.reshape(-1, 3 * n)
     order = np.argsort(flat, kind="stable")
-    symbols, first = np.unique(flat[order], return_index=True)
-    grads |= {"u": du, "b": dx.sum(axis=0), "p": w["x"][flat].T @ dx}
-    return score, last, grads, (symbols, np.add.reduceat((dx @ w["p"].T)[order], first, axis=0))
+    ordered = flat[order]
+    first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    grads = {"c": dc, "u": du, "b": np.ones(len(dx), h.dtype) @ dx, "p": rows.T @ dx}
+    return score, last, grads, (ordered[first], np.add.reduceat((dx @ w["p"].T)[order], first, axis=0))
 
 
 class Adam:
@@ -202,7 +221,7 @@ class Adam:
     def __init__(self, w: dict):
         self.w = w
         self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-        self.words = {k: np.zeros_like(w[k]) for k in ("w", "wb")}
+        self.words = np.zeros_like(w["w"])
         self.n = self.word_steps = self.gathered = 0
 
     def _dense(self, k: str, g: np.ndarray, rate: float, n: int) -> None:
@@ -235,10 +254,9 @@ class Adam:
         self.gathered += tokens
         if self.n % WORD_STEP == 0:
             self.word_steps += 1
-            for k, g in self.words.items():
-                g *= f(1.0 / self.gathered)
-                self._dense(k, g, rate, self.word_steps)
-                g[:] = 0
+            self.words *= f(1.0 / self.gathered)
+            self._dense("w", self.words, rate, self.word_steps)
+            self.words[:] = 0
             self.gathered = 0
 
 
@@ -265,7 +283,7 @@ def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray,
         place[: len(c), i] = c
     begin = np.zeros(len(tokens), bool)
     begin[at[:-1]] = True
-    h = np.zeros((place.shape[1], HIDDEN), np.float32)
+    h, safe = np.zeros((place.shape[1], HIDDEN), np.float32), bounded(w, classes)
     for a in range(0, len(place), WINDOW):
         on = int((place[a] >= 0).sum())  # lanes end in order
         p = place[a : a + WINDOW, :on]
@@ -273,7 +291,7 @@ def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray,
         before, last, _ = _steps(w, h[:on], tokens[at_p], begin[at_p])
         live = p.reshape(-1) >= 0
         spots = p.reshape(-1)[live]
-        out[spots] = _output(w, classes, before.reshape(-1, HIDDEN)[live], tokens[spots])[0] / _LN10
+        out[spots] = _output(w, classes, before.reshape(-1, HIDDEN + 1)[live], tokens[spots], safe=safe)[0] / _LN10
         h[:on] = last
     return out
 
@@ -332,7 +350,7 @@ class Training:
         self.queues = [(np.zeros(0, np.int64), np.zeros(0, bool))] * len(queues)
 
     def _window(self, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray) -> np.ndarray:
-        score, last, grads, sparse = _window_gradients(self.w, self.classes, h, tokens, fresh, live, self.adam.words)
+        score, last, grads, sparse = _window_gradients(self.w, self.classes, h, tokens, fresh, live, self.adam.words, bounded(self.w, self.classes))
         # towards a tenth of the rate at the end; windows of few lanes step less
         rate = self.rate * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, 4 * len(score) / (WINDOW * len(self.queues)))
         self.adam.step(grads, *sparse, len(score), rate)
@@ -443,7 +461,7 @@ def _flatten(w: dict) -> np.ndarray:
 
 
 def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int = 9) -> tuple[dict, int]:
-    """The weights after all rounds, and the tokens that the last one learnt from."""
+    """The weights after all rounds, and the tokens that they learnt from."""
     spark, classes = train_docs.sparkSession, vocabulary.classes
     listed = np.flatnonzero(vocabulary.symbols >= 0)
     word_c = np.zeros(classes.short)
@@ -459,9 +477,9 @@ def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at.astype(np.int32), tokens.astype(np.int32))], ["shard", "u", "tokens"])
 
     texts = scratch(keyed.mapInArrow(coded, "shard int, u long, tokens array<int>"), "lm-tokens")
-    learnt = 0
-    for share, rate in ROUNDS:
-        expected = vocabulary.total * share / n_shards
+    learnt, begin = 0, 0.0
+    for end, rate in ROUNDS:
+        expected = vocabulary.total * (end - begin) / n_shards
         n_lanes = int(np.clip(expected / WINDOW / UPDATES, *LANES))
         sent = spark.sparkContext.broadcast(w)
 
@@ -501,19 +519,21 @@ def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int
                     total[k] = total[k] + part if k in total else part.astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "part"])
 
-        mine = texts.where(F.col("u") < int(share * (1 << 40))).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "u")
+        due = (F.col("u") >= int(begin * (1 << 40))) & (F.col("u") < int(end * (1 << 40)))
+        begin = end
+        mine = texts.where(due).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "u")
         parts = mine.mapInArrow(trained, "slice int, shard int, part binary").repartition(F.col("slice")).sortWithinPartitions("slice", "shard")
         sums = sorted(parts.mapInArrow(added, "slice int, part binary").collect(), key=lambda r: r["slice"])
         sent.unpersist()
         if not sums:
             continue
         flat = np.concatenate([np.frombuffer(r["part"]) for r in sums])
-        learnt, counts, flat = int(flat[0]), np.maximum(flat[1 : classes.end + 2], 1), flat[classes.end + 2 :]
-        at = 0
+        tokens, counts, flat = int(flat[0]), np.maximum(flat[1 : classes.end + 2], 1), flat[classes.end + 2 :]
+        learnt, at = learnt + tokens, 0
         for k in sorted(w):
             moved = flat[at : at + w[k].size].reshape(w[k].shape)
             at += w[k].size
-            w[k] = (w[k] + moved / (counts[:, None] if k == "x" else max(learnt, 1))).astype(np.float32)
+            w[k] = (w[k] + moved / (counts[:, None] if k == "x" else max(tokens, 1))).astype(np.float32)
     return w, learnt
 
 

@@ -220,15 +220,16 @@ def test_gradients():
     live = np.ones((5, 3), bool)
     live[3:, 2] = False
     h = rng.normal(size=(3, lm_scoring.HIDDEN))
-    words = {k: np.zeros_like(w[k]) for k in ("w", "wb")}
-    _, _, grads, (symbols, rows) = lm_scoring._window_gradients(w, classes, h, tokens, fresh, live, words)
-    grads |= words | {"x": np.zeros_like(w["x"])}
+    assert lm_scoring.bounded(w, classes)
+    grads = {"w": np.zeros_like(w["w"]), "x": np.zeros_like(w["x"])}
+    _, _, dense, (symbols, rows) = lm_scoring._window_gradients(w, classes, h, tokens, fresh, live, grads["w"], True)
+    grads |= dense
     grads["x"][symbols] = rows
 
     def loss() -> float:
         before, _, _ = lm_scoring._steps(w, h, tokens, fresh)
         on = live.reshape(-1)
-        return -lm_scoring._output(w, classes, before.reshape(-1, lm_scoring.HIDDEN)[on], tokens.reshape(-1)[on])[0].sum()
+        return -lm_scoring._output(w, classes, before.reshape(-1, lm_scoring.HIDDEN + 1)[on], tokens.reshape(-1)[on])[0].sum()
 
     for k, v in w.items():
         flat, g = v.reshape(-1), grads[k].reshape(-1)
