@@ -151,6 +151,11 @@ def flat_chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES)
         yield a, b, FlatText(buf, offsets, lower)
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of code points before the byte positions ``at`` of a UTF-8 text."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+
+
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles with offsets by document; a shorter document is one shingle, an empty one none."""
     n = np.diff(at)

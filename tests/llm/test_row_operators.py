@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,7 +331,15 @@ def least_edits(item: list[bytes], text: list[bytes]) -> int:
     return min(row)
 
 
-def test_contamination(spark, no_docs, odd_docs, odd_texts, repeated_docs):
+def edited(rng: random.Random, item: list[str], edits: int) -> list[str]:
+    copy = list(item)
+    for _ in range(edits):
+        k, how = rng.randrange(len(copy)), rng.randrange(3)
+        copy[k : k + (how < 2)] = [] if how == 0 else ["other"]
+    return copy
+
+
+def test_contamination(spark, no_docs, odd_docs, odd_texts, repeated_docs, monkeypatch):
     rng = random.Random(5)
     pool = [f"v{i}" for i in range(60)]
     items = [[rng.choice(pool) for _ in range(n)] for n in (1, 3, 6, 9, 14, 20, 33, 50)]
@@ -338,16 +347,15 @@ def test_contamination(spark, no_docs, odd_docs, odd_texts, repeated_docs):
     for i in range(160):
         w = [rng.choice(pool) for _ in range(rng.randrange(0, 80))]
         if i % 2:
-            copy = list(rng.choice(items[2:]))
-            for _ in range(rng.randrange(0, len(copy) // 4 + 1)):
-                k, how = rng.randrange(len(copy)), rng.randrange(3)
-                copy[k : k + (how < 2)] = [] if how == 0 else ["other"]
+            copy = rng.choice(items[2:])
             at = rng.randrange(len(w) + 1)
-            w[at:at] = copy
+            w[at:at] = edited(rng, copy, rng.randrange(0, len(copy) // 4 + 1))
         docs.append((i, " ".join(w).replace("v1 ", "V1, ")))
     bench = spark.createDataFrame([(100 + i, " ".join(x)) for i, x in enumerate(items)] + [(7, None), (8, " "), (None, "x")], "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: {int(x) for x in r.item_ids.split(",") if x} for r in decontam.contamination_report(frame, bench).collect()}
+    report = lambda **options: sorted(tuple(r) for r in decontam.contamination_report(frame, bench, **options).collect())
+    rows = report()
+    got = {r[0]: {int(x) for x in r[3].split(",") if x} for r in rows}
     near = missed = 0
     for i, t in docs:
         w = re.findall("[a-z0-9]+", t.lower())
@@ -355,13 +363,46 @@ def test_contamination(spark, no_docs, odd_docs, odd_texts, repeated_docs):
         assert got[i] <= want
         near += len(want)
         missed += len(want - got[i])
-    assert near > 100 and missed <= 0.02 * near
+    assert near > 100 and missed <= (1 - decontam.RECALL) * near
+    assert [r[:4] for r in report(prefilter=False)] == [r[:4] for r in rows]  # the q-gram lemma saves work and decides nothing
     assert decontam.contamination_report(no_docs, bench).count() == 0
     assert decontam.contamination_report(odd_docs, bench).count() == len(odd_texts)
     assert decontam.contamination_report(odd_docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination_report(repeated_docs, bench).count() == 8
-    clean = decontam.keep_clean(frame, bench)
-    assert {r.doc_id for r in clean.collect()} == {i for i, x in got.items() if not x}
+    clean = {i for i, x in got.items() if not x}
+    assert {r.doc_id for r in decontam.keep_clean(frame, bench).collect()} == clean
+    assert decontam.keep_clean(no_docs, bench).schema == no_docs.schema and decontam.keep_clean(no_docs, bench).count() == 0
+    # a benchmark of several slices
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 300)
+    assert report() == rows
+    assert {r.doc_id for r in decontam.keep_clean(frame, bench).collect()} == clean
+
+
+def test_recall_at_the_limit_of_edits():
+    """Windows with all the edits allowed become candidates, each item alone, at least as often as RECALL says."""
+    rng = random.Random(8)
+    found = total = 0
+    for n in (10, 15, 25, 40, 60):
+        for _ in range(40):
+            item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            text = [f"x{rng.randrange(10**6)}" for _ in range(30)] + edited(rng, item, n // 5) + [f"x{rng.randrange(10**6)}" for _ in range(30)]
+            index = decontam.ItemIndex([1], [" ".join(item)])
+            total += 1
+            found += bool(decontam._found(index, pa.array([" ".join(text)]))[0])
+    assert found >= decontam.RECALL * total
+
+
+def test_alignment():
+    rng = random.Random(3)
+    for _ in range(300):
+        item, text = ([rng.randrange(4) for _ in range(rng.randrange(1, n))] for n in (9, 20))
+        cost, a, b = decontam.align(np.array(item, np.uint64), np.array(text, np.uint64))
+        assert cost == least_edits(item, text) and 0 <= a <= b <= len(text)
+        m = [[i + j if not i or not j else 0 for j in range(b - a + 1)] for i in range(len(item) + 1)]
+        for i in range(1, len(item) + 1):
+            for j in range(1, b - a + 1):
+                m[i][j] = min(m[i - 1][j - 1] + (item[i - 1] != text[a + j - 1]), m[i - 1][j] + 1, m[i][j - 1] + 1)
+        assert m[-1][-1] == cost
 
 
 def test_contamination_spans(spark):
