@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -244,6 +245,37 @@ def test_top_k(spark, spread, monkeypatch):
     assert len(got) == 50
 
 
+def test_bounds_spare_cells(spark):
+    """Well apart clusters: queries need few cells, every other pair of query and cell is spared."""
+    rng = np.random.default_rng(3)
+    centers = 4 * rng.normal(size=(40, 16))
+    rows = [(i, (centers[i % 40] + 0.05 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, queries, cells, _ = knn_join.needed_cells(df, F.col("vec_id") % 50 == 0, pivots=120)
+    n, needed = queries.agg(F.count("*"), F.sum(F.size("needs"))).first()
+    assert n == 60 and needed < 0.1 * n * len(cells)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in knn_join.top_k(df, F.col("vec_id") % 50 == 0, pivots=120).collect()}
+    v = np.floor(256 * np.array([x for _, x in rows]))
+    for i in range(0, 3000, 50):
+        best = sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [j for _, j in best]
+
+
+def test_top_k_of_any_finite_components(spark):
+    rng = np.random.default_rng(12)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(100)}
+    vectors |= {3: [1e15, 2.0, 0.0, 1.0], 50: [3e10, -1e9, 0.5, 0.0], 7: [1e300, -1e300, 0.0, 0.0], 8: [-1.7e308, 0.0, 0.0, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in knn_join.top_k(df, F.col("vec_id") % 10 == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(Fraction(x) * 256 // 1) for x in v] for i, v in vectors.items()}
+    for i in range(0, 100, 10):
+        score = {j: min(max(sum(a * b for a, b in zip(whole[i], w, strict=True)), -(2**63)), 2**63 - 1) for j, w in whole.items() if j != i}
+        best = sorted(score.items(), key=lambda e: (-e[1], e[0]))[:5]
+        assert sorted(got[i]) == [(n + 1, j, s) for n, (j, s) in enumerate(best)]
+
+
 def test_top_k_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (50, [1.0]), (3, [0.5, -1.0]), (3, [0.5, -1.0])], schema)
