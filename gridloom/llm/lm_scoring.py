@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ SHARD_ROOT = 700
 UPDATES, LANES = 400, (16, 512)
 #: The short list's output words step once in so many windows.
 WORD_STEP = 2
+#: Tokens whose classes are worked out at a time: what they take stays in the cache.
+BLOCK = 2048
 #: Numbers in one slice of the weights, which one task adds up over all shards.
 SLICE = 1 << 16
 _LN10 = float(np.log(10))
@@ -144,13 +147,17 @@ def _softmax(x: np.ndarray, place: np.ndarray, safe: bool) -> tuple[np.ndarray,
 def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: np.ndarray | None = None, safe: bool = False):
     """Natural log-probability of each token's class and short-list word. With ``word_grads``, which are added to, also gradients."""
     cls, grad = classes.of[tokens], word_grads is not None
-    x = states @ w["c"]
-    score, total = _softmax(x, cls, safe)
-    dc, back = None, None
-    if grad:
-        x[np.arange(len(x)), cls] -= total
-        part = 1 / total[:, None]
-        back, dc = (x @ w["c"][:-1].T) * part, (states * part).T @ x
+    score, back = np.empty(len(tokens), states.dtype), np.empty((len(tokens) if grad else 0, HIDDEN), states.dtype)
+    dc = np.zeros_like(w["c"]) if grad else None
+    for a in range(0, len(tokens), BLOCK):
+        own, place = states[a : a + BLOCK], cls[a : a + BLOCK]
+        x = own @ w["c"]
+        score[a : a + BLOCK], total = _softmax(x, place, safe)
+        if grad:
+            x[np.arange(len(x)), place] -= total
+            part = 1 / total[:, None]
+            np.multiply(x @ w["c"][:-1].T, part, out=back[a : a + BLOCK])
+            dc += (own * part).T @ x
     short = np.flatnonzero(tokens < classes.short)
     order = short[np.argsort(cls[short], kind="stable")]
     ends = np.searchsorted(cls[order], np.arange(classes.n + 1)).tolist()
@@ -407,8 +414,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
             parts = [_words(flat)[:2] for _, _, flat in flat_chunks(batch.column(0), lower=True)]
             if parts:
                 h, suffix = (np.concatenate(x) for x in zip(*parts, strict=True))
-                distinct, first, count = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(suffix[first].astype(np.int32)), pa.array(count)], ["h", "suffix", "c"])
+                code, distinct = pd.factorize(h)
+                ending = np.empty(len(distinct), np.int32)
+                ending[code] = suffix
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(ending), pa.array(np.bincount(code, minlength=len(distinct)))], ["h", "suffix", "c"])
 
     return docs.select("text").mapInArrow(work, "h long, suffix int, c long").groupBy("h").agg(F.max("suffix").alias("suffix"), F.sum("c").alias("c"))
 
@@ -445,38 +454,63 @@ def build_vocabulary(counted: DataFrame, n_docs: int) -> tuple[Vocabulary, int]:
     return vocabulary, least
 
 
-def _tokens(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    parts, ends, total = [], [np.zeros(1, np.int64)], 0
-    for _, _, flat in flat_chunks(column, lower=True):
-        h, suffix, at = _words(flat)
-        symbols, at = _with_ends(vocabulary.look_up(h, suffix)[0], at, vocabulary.classes.end)
-        parts.append(symbols)
-        ends.append(at[1:] + total)
-        total += len(symbols)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.concatenate(ends)
+_CODED = "doc_id long, held_out boolean, shard int, u long, n_tokens long, n_known long, base double, tail double, rare array<long>, tokens array<int>"
+
+
+def coded(docs: DataFrame, shared) -> DataFrame:
+    """Per document its symbols, and what the vocabulary says of its words: tokens, known ones, sums of logs, words that aren't common."""
+
+    def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        end_log = np.log10(known.ends + 1.0)
+        for batch in batches:
+            for a, b, flat in flat_chunks(batch.column(4), lower=True):
+                h, suffix, at = _words(flat)
+                symbol, count = known.look_up(h, suffix)
+                doc, common = np.repeat(np.arange(flat.n), np.diff(at)), count >= 0
+                logs = np.where(common, np.log10(np.maximum(count, 0) + 1.0), 0.0)
+                in_tail = np.where(symbol >= known.classes.short, logs - known.tail_norm[np.maximum(symbol - known.classes.short, 0)], 0.0)
+                tokens, ends = _with_ends(symbol, at, known.classes.end)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(c.slice(a, b - a) for c in batch.columns[:4]),
+                        pa.array(np.diff(ends)),
+                        pa.array(np.bincount(doc, common & (count > 0), flat.n).astype(np.int64) + (known.ends > 0)),
+                        pa.array(np.bincount(doc, logs, flat.n) + float(end_log)),
+                        pa.array(np.bincount(doc, in_tail, flat.n).astype(float)),
+                        lists(h[~common].view(np.int64), np.bincount(doc[~common], minlength=flat.n)),
+                        lists(tokens.astype(np.int32), np.diff(ends)),
+                    ],
+                    [f.split()[0] for f in _CODED.split(", ")],
+                )
+
+    return docs.mapInArrow(work, _CODED)
+
+
+def _token_lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All lists in one array, and their offsets in it."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy().astype(np.int64), at - at[0]
 
 
 def _flatten(w: dict) -> np.ndarray:
     return np.concatenate([w[k].reshape(-1) for k in sorted(w)])
 
 
-def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int = 9) -> tuple[dict, int]:
-    """The weights after all rounds, and the tokens that they learnt from."""
-    spark, classes = train_docs.sparkSession, vocabulary.classes
+def shards_of(vocabulary: Vocabulary) -> int:
+    return max(1, int(np.sqrt(vocabulary.total) / SHARD_ROOT))
+
+
+def fit_network(texts: DataFrame, vocabulary: Vocabulary) -> tuple[dict, int]:
+    """The weights after all rounds, and the tokens that they learnt from. ``texts``: shard, u, tokens of all training documents."""
+    spark, classes, n_shards = texts.sparkSession, vocabulary.classes, shards_of(vocabulary)
     listed = np.flatnonzero(vocabulary.symbols >= 0)
     word_c = np.zeros(classes.short)
     word_c[vocabulary.symbols[listed]] = vocabulary.counts[listed]
     w = new_weights(classes, word_c, 10.0**vocabulary.tail_norm, vocabulary.ends)
-    n_shards = max(1, int(np.sqrt(vocabulary.total) / SHARD_ROOT))
-    drawn = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id()), "text")
-    keyed = train_docs.select(F.pmod(drawn, F.lit(n_shards)).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn), 24).alias("u"), "text")
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, at = _tokens(batch.column(2), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at.astype(np.int32), tokens.astype(np.int32))], ["shard", "u", "tokens"])
-
-    texts = scratch(keyed.mapInArrow(coded, "shard int, u long, tokens array<int>"), "lm-tokens")
     learnt, begin = 0, 0.0
     for end, rate in ROUNDS:
         expected = vocabulary.total * (end - begin) / n_shards
@@ -496,9 +530,7 @@ def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), shard, np.int32)), pa.array(parts, pa.binary())], ["slice", "shard", "part"])
 
             for batch in batches:
-                of, lists = batch.column(0).to_numpy(), batch.column(2)
-                flat, ends = lists.flatten().to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-                ends -= ends[0]
+                of, (flat, ends) = batch.column(0).to_numpy(), _token_lists(batch.column(2))
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if a == b:
@@ -537,7 +569,7 @@ def fit_network(train_docs: DataFrame, vocabulary: Vocabulary, shared, seed: int
     return w, learnt
 
 
-def score_documents(df: DataFrame, held_out: Column | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_documents(df: DataFrame, held_out: Column | None = None, folds: int = 7, fold: int = 2, seed: int = 9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; the model learns from rows not held out."""
     held_out = crc_mod("doc_id", folds) == fold if held_out is None else held_out
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
@@ -546,53 +578,25 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
     counted = scratch(word_counts(train_docs), "lm-counts")
     vocabulary, least = build_vocabulary(counted, n_docs)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    weights = spark.sparkContext.broadcast(fit_network(train_docs, vocabulary, shared)[0])
+    drawn = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id()), "text")
+    shard = F.pmod(drawn, F.lit(shards_of(vocabulary))).cast("int")
+    keyed = docs.select("doc_id", "held_out", shard.alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn), 24).alias("u"), "text")
+    rows = scratch(coded(keyed, spark.sparkContext.broadcast(vocabulary)).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    weights = spark.sparkContext.broadcast(fit_network(rows.where(~F.col("held_out")).select("shard", "u", "tokens"), vocabulary)[0])
+    classes = vocabulary.classes
     log_all = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value, weights.value
         for batch in batches:
-            symbols, suffixes, parts = [], [], []
-            for _, _, flat in flat_chunks(batch.column(2), lower=True):
-                h, suffix, at = _words(flat)
-                symbol, count = known.look_up(h, suffix)
-                tail = symbol >= known.classes.short
-                n, doc = np.diff(at), np.repeat(np.arange(flat.n), np.diff(at))
-                common = count >= 0
-                logs = np.where(common, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-                rare = np.flatnonzero(~common)
-                rare_at = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=flat.n))])
-                end_log = np.log10(known.ends + 1.0)
-                norm = known.tail_norm[np.maximum(symbol - known.classes.short, 0)]
-                parts.append(
-                    (
-                        n + 1,
-                        np.bincount(doc, common & (count > 0), flat.n).astype(np.int64) + (known.ends > 0),
-                        np.bincount(doc, logs, flat.n) + end_log,
-                        np.bincount(doc, np.where(tail, logs - norm, 0.0), flat.n),
-                        h[rare].view(np.int64),
-                        np.diff(rare_at),
-                    )
-                )
-                s, ends = _with_ends(symbol, at, known.classes.end)
-                symbols.append(s)
-                suffixes.append(np.diff(ends))
-            if not parts:
-                continue
-            n, hit, base, tail, rare, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-            tokens, size = np.concatenate(symbols), np.concatenate(suffixes)
-            at = np.concatenate([[0], np.cumsum(size)])
-            net = np.bincount(np.repeat(np.arange(len(size)), size), token_scores(w, known.classes, tokens, at), len(size))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), rare)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(hit), pa.array(base), pa.array(net + tail), lists], ["doc_id", "held_out", "n_tokens", "n_known", "base", "net", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, rare array<long>"
-    scored = docs.select("doc_id", "held_out", "text").mapInArrow(work, schema)
-    rows = scratch(scored.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+            tokens, at = _token_lists(batch.column(0))
+            net = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), token_scores(weights.value, classes, tokens, at), len(at) - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(net.astype(float))], [*batch.schema.names[1:], "net"])
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail"]
+    scored = rows.select("tokens", *kept).mapInArrow(work, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, net double")
     asked = rows.select("row", F.explode("rare").alias("h"))
     found = asked.join(counted.where(F.col("c") < least).select("h", "c"), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
-    joined = rows.drop("rare").join(found, "row", "left")
+    joined = scored.join(found, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     base = F.col("base") + logs - F.col("n_tokens") * F.lit(log_all)
     return joined.select(
@@ -602,5 +606,5 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(vocabulary.total)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("net") + logs if n_docs else base).alias("score"),
+        (F.col("net") + F.col("tail") + logs if n_docs else base).alias("score"),
     )

@@ -275,8 +275,9 @@ def test_network_learns_from_all_training_documents(spark, many_shards):
     rows = [(i, f"w{i % 7} x y{i % 3}" if i else "long " * 5000) for i in range(400)] + [(None, "x y"), (None, "x y"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     vocabulary, _ = lm_scoring.build_vocabulary(lm_scoring.word_counts(docs), 403)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    _, learnt = lm_scoring.fit_network(docs, vocabulary, shared)
+    keyed = docs.select("doc_id", F.lit(False), F.pmod("doc_id", F.lit(3)).cast("int"), F.coalesce("doc_id", F.lit(0)) * (1 << 31), "text")
+    texts = lm_scoring.coded(keyed, spark.sparkContext.broadcast(vocabulary)).select(F.coalesce("shard", F.lit(0)).alias("shard"), "u", "tokens")
+    _, learnt = lm_scoring.fit_network(texts, vocabulary)
     assert learnt == vocabulary.total == 399 * 4 + 5001 + 3 + 3 + 1
 
 
