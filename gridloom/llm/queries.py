@@ -83,16 +83,5 @@ WITH usable AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-""",
-    "op9_token_counts": r"""
-WITH counted AS (
-  SELECT source, lang,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w1,
-         len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS w2
-  FROM documents
-)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(w1) AS BIGINT) AS n_tokens FROM counted GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'words-2', count(*), CAST(sum(w2) AS BIGINT) FROM counted GROUP BY source, lang
 """,
 }

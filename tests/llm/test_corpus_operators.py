@@ -288,22 +288,58 @@ def test_top_k_of_few(spark):
 # --- counts ------------------------------------------------------------------------------------------
 
 
+CHANGES = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+
+
 def test_rollups_are_additive_and_idempotent(spark, tmp_path):
-    changes = spark.createDataFrame([("insert", "s", "en", "v", 10, None), ("insert", "s", None, "v", 4, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
-    store = token_counts.RollupStore(spark, f"file://{tmp_path}/rollup")
+    changes = spark.createDataFrame([("insert", "s", "en", "v", 10, None), ("insert", "s", None, "v", 4, None)], CHANGES)
+    store, other = (token_counts.RollupStore(spark, f"file://{tmp_path}/rollup") for _ in range(2))
     total = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in store.totals().collect()}
     assert total() == {}
     assert store.commit("a", changes) and not store.commit("a", changes)
     assert total() == {("s", "en"): (1, 10), ("s", None): (1, 4)}
     assert store.commit("b", spark.createDataFrame([("revise", "s", "en", "v", 7, 10), ("delete", "s", None, "v", 4, None)], changes.schema))
     assert total() == {("s", "en"): (1, 7)}
-    # what a lost attempt left behind isn't counted, and is replaced
-    folder = tmp_path / "rollup" / store._folder("c")
-    store.commit("c", changes)
-    (folder / "_SUCCESS").unlink()
-    assert total() == {("s", "en"): (1, 7)}
-    assert store.commit("c", changes)
+    # two drivers with one id: both see it free, one of them gets it
+    other.committed = lambda batch_id: False
+    assert store.commit("c", changes) and not other.commit("c", changes)
     assert total() == {("s", "en"): (2, 17), ("s", None): (1, 4)}
+    # what an attempt leaves that was lost before its rename
+    token_counts.deltas(changes).write.parquet(f"file://{tmp_path}/rollup/staging/lost")
+    assert total() == {("s", "en"): (2, 17), ("s", None): (1, 4)}
+    # tokens without a document are shown
+    assert store.commit("d", spark.createDataFrame([("revise", "t", "en", "v", 7, 10)], changes.schema))
+    assert total()["t", "en"] == (0, -3)
+
+
+def test_compaction(spark, tmp_path):
+    changes = spark.createDataFrame([("insert", "s", "en", "v", 10, None)], CHANGES)
+    store = token_counts.RollupStore(spark, f"file://{tmp_path}/rollup")
+    assert store.compact() and store.totals().count() == 0
+    for n in range(1, 7):
+        assert store.commit(f"b{n}", changes)
+        if n % 2:
+            assert store.compact()
+        assert not store.commit("b1", changes)  # ids stay taken
+        assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(n, 10 * n)]
+    last, held, new = store._state()
+    assert last == 4 and len(held) == 5 and len(new) == 1
+    kept = [f for n in held for f in store._names(f"batches/{n}") if f.endswith(".parquet")]
+    assert 0 < len(kept) <= 4  # of the two batches since the snapshot before
+    # another driver that made the same snapshot first
+    state = store._state()
+    assert store.compact()
+    store._state = lambda: state
+    assert not store.compact()
+
+
+@pytest.mark.parametrize("row", [("update", 1, 1), (None, 1, 1), ("insert", None, 1), ("revise", 1, None)])
+def test_unknown_changes_raise(spark, tmp_path, row):
+    bad = spark.createDataFrame([(row[0], "s", "en", "v", row[1], row[2])], CHANGES)
+    store = token_counts.RollupStore(spark, f"file://{tmp_path}/rollup")
+    with pytest.raises(Exception, match="not a change with its counts"):
+        store.commit("a", bad)
+    assert store.totals().count() == 0 and not store.committed("a")
 
 
 def test_counts(spark, odd_docs, odd_texts, no_docs, repeated_docs):
@@ -312,12 +348,38 @@ def test_counts(spark, odd_docs, odd_texts, no_docs, repeated_docs):
     made = bpe.tokenizer(path).tokenizer
     for i, t in odd_texts.items():
         assert got[i, "words-1"] == len((t or "").encode().split())
-        assert got[i, path] == len(made.encode(t or "", add_special_tokens=False).ids)
+        assert got[i, "byte_bpe_50k"] == len(made.encode(t or "", add_special_tokens=False).ids)
     assert token_counts.maintained_counts(no_docs).count() == 0
     total = token_counts.maintained_counts(repeated_docs).where("tokenizer = 'words-1'").agg(F.sum("n_docs")).first()[0]
     assert total == 8
 
 
+WORDS_SQL = r"""
+WITH counted AS (
+  SELECT source, lang,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w1,
+         len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS w2
+  FROM documents
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(w1) AS BIGINT) AS n_tokens FROM counted GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*), CAST(sum(w2) AS BIGINT) FROM counted GROUP BY source, lang
+"""
+
+
+def test_maintained_counts_of_all_documents(spark, sf_dir):
+    """Word versions against SQL, the tokenizer's against the tokenizer itself."""
+    rows = queries.op9_token_counts(spark, sf_dir)
+    same(rows.where("tokenizer LIKE 'words%'"), WORDS_SQL, connect(sf_dir))
+    made = bpe.tokenizer(bpe.default_path()).tokenizer
+    docs = queries.table(spark, sf_dir, "documents").collect()
+    want = defaultdict(lambda: [0, 0])
+    for d, e in zip(docs, made.encode_batch([d.text or "" for d in docs], add_special_tokens=False), strict=True):
+        want[d.source, d.lang][0] += 1
+        want[d.source, d.lang][1] += len(e.ids)
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rows.where("tokenizer = 'byte_bpe_50k'").collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_rows_equal_sql(spark, sf_dir, name):
     same(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], connect(sf_dir))
