@@ -4,12 +4,16 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 sort the suffixes of a whole corpus, so strings are first brought together: each has an anchor, the
 least hashed 40-byte gram in it, which depends on nothing else, so equal strings have equal
 anchors. The strings of one anchor occurrence overlap and form a segment. Segments whose anchor
-occurs once hold no repeats. Equal segments repeat as wholes. Distinct segments of one anchor are
+occurs once hold no repeats. Equal segments (two 64-bit hashes agree) repeat as wholes. Distinct segments of one anchor are
 joined to a text whose suffixes are sorted to ``length`` bytes and more; breadth-first backward
 extension over its BWT sets common-prefix values in increasing order and stops at ``length``: what
-is not set by then is at least that long, and those suffixes start repeated strings. Segments of an
-anchor with very many distinct ones (a passage that a large part of the corpus quotes) are taken
-apart into their strings, which are counted; this is linear and splits by string.
+is not set by then is at least that long, and those suffixes start repeated strings.
+
+Where the distinct segments of an anchor are too many bytes for one task, they are cut into shorter
+ones, whose strings have their anchor within a narrower range of offsets; these all hold a
+common core, and equal strings have equal anchors, offsets and cores. So segments are grouped anew by
+range and core, equal ones repeat as wholes, and the rest goes the same way, with ranges down to one
+offset, where distinct strings can't be equal.
 
 Matches never cross documents. Null and empty texts, and those shorter than ``length``, keep all
 bytes. Rows with equal or null ids are documents of their own. An empty table gives no rows. Other
@@ -31,9 +35,11 @@ from gridloom.llm.common import mix64, scratch, string_chunks
 GRAM = 40
 #: Bytes of segments whose suffixes one task sorts at a time, on average.
 BUCKET_BYTES = 2 << 20
-#: Distinct segments of an anchor beyond which their strings are counted one by one.
-MANY_SEGMENTS = 4096
-#: Bits of the maps of wanted segments, as a power of two, at most.
+#: Widths of the ranges of anchor offsets that too large groups are cut to, one after the other.
+WIDTHS = (40, 8, 1)
+#: Keys with more than this share of all occurrences are told apart by broadcast: there can't be more of them than its inverse.
+HOT_SHARE = 1e-4
+#: Bits of the maps that spare keys and rows without repeats a shuffle, as a power of two, at most. A full map only spares less.
 BITMAP_BITS = 27
 _CHUNK = 1 << 20
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -67,8 +73,8 @@ class RollingHash:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, start, end, anchor, hash) of all segments of documents in one buffer."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """(document, start, end, anchor, hash, anchor's place) of all segments of documents in one buffer."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     if len(data) < length:
         return none
     rolling = RollingHash(data)
@@ -92,7 +98,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return none
     stops = np.flatnonzero(inside & np.append(~inside[1:] | new[1:], True))
     end = stops + length
-    return doc[first], first, end, grams[place[first]], rolling.of(first, end)
+    return doc[first], first, end, grams[place[first]], rolling.of(first, end), place[first]
 
 
 # --- suffixes ------------------------------------------------------------------------------------
@@ -249,88 +255,128 @@ def _bwt_cover(length: int):
     return work
 
 
-def _strings(length: int):
-    """All strings of segments, hashed twice."""
+def _cut(length: int, width: int):
+    """(a, s, off, n, content) cut to ranges of ``width`` offsets: (k, s, off, n, content, pa, ps, shift), k of range and core, s of the content."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column(2).to_pylist()):
-                data = np.frombuffer(raw, np.uint8)
-                begin = np.arange(len(data) - length + 1)
-                one = RollingHash(data).of(begin, begin + length)
-                two = RollingHash(data ^ np.uint8(0x5A)).of(begin, begin + length)
-                n = len(begin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.full(n, batch.column(1)[i].as_py())), pa.array(begin.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["a", "s", "at", "w1", "w2"],
-                )
+            out = []
+            for a, s, off, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = len(raw) - length  # strings start at 0 to last, their anchor is off - start bytes on
+                for low in range(max(0, off - last) // width * width, off + 1, width):
+                    first, stop = max(0, off - low - width + 1), min(last, off - low)
+                    if first > stop:
+                        continue
+                    core, own = raw[off - low : off - low - width + 1 + length], raw[first : stop + length]
+                    # the place of the anchor is part of a piece: equal pieces have equal strings at equal offsets
+                    out.append((_digest(b"%d,%d," % (a, low) + core), _digest(b"%d," % (off - first) + own), off - first, n, own, a, s, first))
+            yield pa.RecordBatch.from_pylist([dict(zip(_PIECES.names, row, strict=True)) for row in out], _PIECES)
 
     return work
 
 
-def repeats(df: DataFrame, length: int = 200, many: int = MANY_SEGMENTS) -> DataFrame:
-    """doc_id, text, runs: the maximal runs of bytes (start, end, start, ...) to remove from each row's text."""
-    docs, spark = _documents(df), df.sparkSession
+_PIECES = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("off", pa.int32()), ("n", pa.int64()), ("content", pa.binary()), ("pa", pa.int64()), ("ps", pa.int64()), ("shift", pa.int32())])
+
+
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _covered(contents: DataFrame, length: int, limit: int, widths: tuple[int, ...]) -> DataFrame:
+    """a, s, runs of segments (a, s, off, n, content, size: bytes of all with that a): strings that also are in another segment of the same a."""
+    small = contents.where(F.col("size") <= limit)
+    total = small.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    buckets = max(1, -(-int(total) // limit))
+    found = small.select("a", "s", "content", F.pmod(F.xxhash64("a"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_bwt_cover(length), "a long, s long, runs array<int>")
+    large = contents.where(F.col("size") > limit).select("a", "s", "off", "n", "content")
+    if not widths or large.isEmpty():
+        return found
+    schema = "k long, s long, off int, n long, content binary, pa long, ps long, shift int"
+    pieces = scratch(large.mapInArrow(_cut(length, widths[0]), schema), "repeat-pieces")
+    sized = F.octet_length("content").alias("size")
+    kinds = scratch(pieces.select("k", "s", "off", "n", sized).groupBy("k", "s").agg(F.max("off").alias("off"), F.max("size").alias("size"), F.sum("n").alias("n")), "repeat-kinds")
+    groups = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
+    due = kinds.join(groups, "k").select("k", "s", "n", "bytes")
+    first = pieces.select("k", "s", "off", "content").dropDuplicates(["k", "s"])
+    inner = first.join(due, ["k", "s"]).select(F.col("k").alias("a"), "s", "off", "n", "content", F.col("bytes").alias("size"))
+    deeper = _covered(scratch(inner, "repeat-contents"), length, limit, widths[1:])
+    whole = kinds.where("n > 1").select("k", "s", F.array(F.lit(0), F.col("size")).cast("array<int>").alias("runs"))
+    runs = whole.union(deeper.select(F.col("a").alias("k"), "s", "runs"))
+    back = pieces.select("k", "s", "pa", "ps", "shift").join(scratch(runs, "repeat-runs"), ["k", "s"])
+    back = back.groupBy("pa", "ps").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: (r + F.col("shift")).cast("int")))).alias("runs"))
+    return found.union(back.toDF("a", "s", "runs"))
+
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeats(df: DataFrame, length: int = 200, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, text, runs: the runs of bytes (start, end, start, ...) to remove from each row's text, in any order."""
+    spark = df.sparkSession
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offsets in string_chunks(batch.column(0), _CHUNK):
-                _, start, end, anchor, own = segments(buf, offsets, length)
-                if len(own):
-                    _, first, n = np.unique(own ^ mix64(anchor), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(own[first].view(np.int64)), pa.array((end - start)[first].astype(np.int32)), pa.array(n)], ["a", "s", "size", "n"])
-
-    all_segments = scratch(docs.select("text").mapInArrow(summed, "a long, s long, size int, n long").groupBy("a", "s").agg(F.max("size").alias("size"), F.sum("n").alias("n")), "repeat-segments")
-    by_anchor = all_segments.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    shared = scratch(all_segments.join(by_anchor, "a").select("a", "s", "size", "n", "kinds"), "repeat-shared")
-    compared = shared.where("kinds > 1")
-    n_all, n_compared, size = shared.agg(F.count("*"), F.count(F.when(F.col("kinds") > 1, 1)), F.sum(F.when(F.col("kinds") > 1, F.col("size").cast("long")))).first()
-    key = F.col("a").bitwiseXOR(F.col("s"))
-    wanted = spark.sparkContext.broadcast(_bitmap(compared.select(key.alias("h")), n_compared))
+            for a, b, buf, offsets in string_chunks(batch.column(2), _CHUNK):
+                doc, start, end, anchor, own, place = segments(buf, offsets, length)
+                at = np.searchsorted(doc, np.arange(b - a + 1))
+                packed = (start - offsets[doc]) << 32 | (end - start) << 16 | (place - start)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *(_lists(x, at) for x in (anchor.view(np.int64), own.view(np.int64), packed))], ["row", "doc_id", "text", "a", "s", "pos"])
+
+    docs = _documents(df).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = scratch(docs.mapInArrow(keyed, "row long, doc_id long, text string, a array<long>, s array<long>, pos array<long>"), "repeat-rows")
+    size, off, begin = F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int"), F.col("pos").bitwiseAND(F.lit(0xFFFF)).cast("int"), F.shiftright("pos", 32)
+    spots = rows.select("row", F.explode(F.arrays_zip("a", "s", "pos")).alias("x")).select("row", "x.a", "x.s", "x.pos")
+    kinds = scratch(spots.groupBy("a", "s").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min_by("pos", "row").alias("pos")), "repeat-segments")
+    by_anchor = kinds.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(size).alias("bytes")).where("total > 1")
+    by_anchor = scratch(by_anchor, "repeat-anchors")
+    n_all = kinds.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(by_anchor.where(F.col("kinds") > n_all * HOT_SHARE))  # not more than 1 / HOT_SHARE rows
+    joined = kinds.join(hot, "a").unionByName(kinds.join(hot.select("a"), "a", "left_anti").join(by_anchor, "a"))
+    shared = scratch(joined.select("a", "s", "n", "row", "pos", "kinds", "bytes"), "repeat-shared")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offsets in string_chunks(batch.column(0), _CHUNK):
-                _, start, end, anchor, own = segments(buf, offsets, length)
-                h = anchor ^ own
-                pick = np.flatnonzero(_passes(wanted.value, h))
-                pick = pick[np.unique(h[pick], return_index=True)[1]]
-                raw = buf.tobytes()
-                made = [raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[pick].view(np.int64)), pa.array(own[pick].view(np.int64)), pa.array(made, pa.binary())], ["a", "s", "content"])
-
-    texts = docs.select("text").mapInArrow(contents, "a long, s long, content binary").join(compared.select("a", "s", "kinds"), ["a", "s"]).dropDuplicates(["a", "s"])
-    texts = scratch(texts, "repeat-contents")
-    buckets = max(1, -(-int(size or 0) // BUCKET_BYTES))
-    few = texts.where(F.col("kinds") <= many).withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)))
-    covered = few.groupBy("bucket").applyInArrow(_bwt_cover(length), "a long, s long, runs array<int>")
-    strings = texts.where(F.col("kinds") > many).select("a", "s", "content").mapInArrow(_strings(length), "a long, s long, at int, w1 long, w2 long")
-    twice = strings.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    starts = strings.join(twice, ["w1", "w2"]).groupBy("a", "s").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    loose = starts.select("a", "s", F.flatten(F.transform("ats", lambda x: F.array(x, x + length))).alias("runs"))
-    covered = scratch(covered.union(loose).where(F.size("runs") > 0), "repeat-covered")
-    whole = shared.where("n > 1").select("a", "s", F.array(F.lit(0), F.col("size")).alias("runs"))
-    cover = scratch(whole.union(covered.join(shared.where("n > 1").select("a", "s"), ["a", "s"], "left_anti")), "repeat-cover")
-    touched = spark.sparkContext.broadcast(_bitmap(cover.select(key.alias("h")), n_all))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i, due in enumerate(batch.column(1)):
+                raw, made = memoryview(batch.column(0)[i].as_buffer()), due.as_py()
+                cuts = [bytes(raw[d["pos"] >> 32 : (d["pos"] >> 32) + (d["pos"] >> 16 & 0xFFFF)]) for d in made]
+                yield pa.RecordBatch.from_pylist([{"a": d["a"], "s": d["s"], "off": d["pos"] & 0xFFFF, "n": d["n"], "content": c, "size": d["bytes"]} for d, c in zip(made, cuts, strict=True)], _CONTENTS)
+
+    # each distinct segment is cut out of the first row that has it
+    due = shared.where("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("a", "s", "pos", "n", "bytes")).alias("due"))
+    texts = scratch(rows.select("row", "text").join(due, "row").select("text", "due").mapInArrow(contents, "a long, s long, off int, n long, content binary, size long"), "repeat-contents")
+    covered = _covered(texts, length, bucket_bytes, WIDTHS).where(F.size("runs") > 0)
+    moved = lambda runs: F.transform(runs, lambda r: r + begin).alias("runs")
+    # a segment that occurs once is in the row that is known; those that repeat as wholes are looked for in all rows
+    single = covered.join(shared.where("n = 1").select("a", "s", "row", "pos"), ["a", "s"]).select("row", moved("runs"))
+    whole = shared.where("n > 1").select("a", "s", "n")
+    often = {(r.a, r.s) for r in whole.where(F.col("n") > n_all * HOT_SHARE).collect()}  # not more than 1 / HOT_SHARE rows
+    maybe = spark.sparkContext.broadcast((_bitmap(whole.select(F.col("a").bitwiseXOR(F.col("s")).alias("h")), whole.count()), often))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, often = maybe.value
         for batch in batches:
-            for a, b, buf, offsets in string_chunks(batch.column(1), _CHUNK):
-                doc, start, _, anchor, own = segments(buf, offsets, length)
-                pick = np.flatnonzero(_passes(touched.value, anchor ^ own))
-                at = np.searchsorted(doc[pick], np.arange(b - a + 1))
-                lists = [_lists(x, at) for x in (anchor[pick].view(np.int64), own[pick].view(np.int64), start[pick] - offsets[doc[pick]])]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *lists], ["doc_id", "text", "a", "s", "at"])
-
-    schema = "doc_id long, text string, a array<long>, s array<long>, at array<long>"
-    rows = scratch(docs.mapInArrow(placed, schema).withColumn("row", F.monotonically_increasing_id()), "repeat-rows")
-    spots = rows.select("row", F.explode(F.arrays_zip("a", "s", "at")).alias("x")).select("row", "x.a", "x.s", "x.at")
-    hit = spots.join(cover, ["a", "s"]).select("row", F.transform("runs", lambda r: r + F.col("at")).alias("runs"))
-    by_row = hit.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    runs = F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs")
+            a, s, pos = (c.flatten().to_numpy() for c in batch.columns[1:])
+            row = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+            pick = np.flatnonzero(_passes(bitmap, (a ^ s).view(np.uint64)))
+            sure = np.array([pair in often for pair in zip(a[pick].tolist(), s[pick].tolist(), strict=True)], bool) if often else np.zeros(len(pick), bool)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[pick]) for x in (row, a, s, pos)), pa.array(sure)], ["row", "a", "s", "pos", "sure"])
+
+    likely = rows.select("row", "a", "s", "pos").mapInArrow(found, "row long, a long, s long, pos long, sure boolean")
+    likely = scratch(likely, "repeat-likely")
+    again = likely.where("sure").unionByName(likely.where("not sure").join(whole.select("a", "s"), ["a", "s"], "left_semi"))
+    again = again.select("row", moved(F.array(F.lit(0), size)))
+    by_row = scratch(single.union(again).groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeat-runs")
     # only texts that may lose something are dealt out
-    some = rows.where(F.size("a") > 0).select("row", "doc_id", "text").join(by_row, "row", "left").select("doc_id", "text", runs)
-    return some.union(rows.where(F.size("a") == 0).select("doc_id", "text", F.array().cast("array<bigint>").alias("runs")))
+    n_rows = by_row.count()
+    bits = min(BITMAP_BITS, max(10, int(n_rows * 16).bit_length()))
+    at = F.xxhash64("row").bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64(row) & {(1 << bits) - 1} & 63 as int))")
+    words = F.broadcast(by_row.select(F.shiftright(at, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")))  # not more than 2^(BITMAP_BITS - 6) rows
+    flagged = rows.select("row", "doc_id", "text", F.shiftright(at, 6).alias("w"), bit.alias("own")).join(words, "w", "left")
+    hit = F.coalesce(F.col("b").bitwiseAND(F.col("own")), F.lit(0)) != 0
+    runs = F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs")
+    some = flagged.where(hit).select("row", "doc_id", "text").join(by_row, "row", "left").select("doc_id", "text", runs)
+    return some.union(flagged.where(~hit).select("doc_id", "text", F.array().cast("array<bigint>").alias("runs")))
+
+
+_CONTENTS = pa.schema([("a", pa.int64()), ("s", pa.int64()), ("off", pa.int32()), ("n", pa.int64()), ("content", pa.binary()), ("size", pa.int64())])
 
 
 def removal_report(df: DataFrame, length: int = 200, **options) -> DataFrame:

@@ -137,8 +137,8 @@ def plain_repeats(texts: dict, length: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("many", [4096, 3])
-def test_repeats(spark, odd_texts, no_docs, repeated_docs, many):
+@pytest.mark.parametrize("bucket_bytes", [suffix_dedup.BUCKET_BYTES, 800, 1])
+def test_repeats(spark, odd_texts, no_docs, repeated_docs, bucket_bytes):
     rng = random.Random(4)
     texts = dict(odd_texts)
     quoted = words(rng, 70, 5000)
@@ -146,11 +146,11 @@ def test_repeats(spark, odd_texts, no_docs, repeated_docs, many):
         left = words(rng, 30, 5000) if i % 3 else "shared left context of these documents " * 2 + words(rng, i, 50)
         texts[100 + i] = left + " " + quoted + " " + words(rng, 30, 5000)
     rows = spark.createDataFrame([(i, t, "c", 1) for i, t in texts.items()], "doc_id long, text string, a string, row int").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(rows, many=many).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(rows, bucket_bytes=bucket_bytes).collect()}
     want = plain_repeats(texts, 200)
     assert got == want
     assert sum(x[1] for x in want.values()) > 10000
-    if many > 3:
+    if bucket_bytes > 800:
         assert suffix_dedup.removal_report(no_docs).count() == 0
         twice = suffix_dedup.removal_report(repeated_docs).collect()
         assert len(twice) == 8 and all(r.n_removed == r.n_bytes for r in twice)
