@@ -48,6 +48,32 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this, and more than this share of all rows, are hot: there are at most 1 / HOT_SHARE of them.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key, where no key's rows of ``many`` need to meet.
+
+    ``counts``: key and n, its rows in ``many``, of ``total``. The rows of a hot key are cut into pieces by
+    a hash of column ``by``, and its row in ``one`` goes to every piece.
+    """
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__cuts")))
+    cuts = F.coalesce("__cuts", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("__piece", F.pmod(F.xxhash64(by), cuts).cast("int"))
+    right = one.join(hot, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    return left.drop("__cuts").join(right.drop("__cuts"), [key, "__piece"]).drop("__piece")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; a null id counts as 0."""
     c = F.col(col) if isinstance(col, str) else col

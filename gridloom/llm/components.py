@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scratch
+from gridloom.llm.common import salted_join, scratch
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,13 +40,18 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[roots[moved]])], ["a", "b"])
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _with_lowest(edges: DataFrame, label: str) -> DataFrame:
+    """u, v, low: each u's least neighbour. Rows of a hub don't meet."""
+    low = scratch(edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), label)
+    total = low.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return salted_join(edges, low.drop("n"), "u", "v", low, total)
+
+
+def _stars(edges: DataFrame, label: str) -> DataFrame:
     """One large-star and one small-star step over edges (a > b)."""
     both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-    low = both.groupBy("u").agg(F.min("v").alias("low"))
-    large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("low"))
-    joined = large.join(low, "u")
+    large = _with_lowest(both, label).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+    joined = _with_lowest(scratch(large.distinct(), label), label)
     small = joined.where("v <> low").select(F.col("v").alias("a"), F.col("low").alias("b")).union(joined.select("u", "low")).toDF("a", "b")
     return small.where("a <> b").distinct()
 
@@ -64,7 +69,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     seen = mark(now)
     while seen[0]:
-        now = scratch(_stars(now), label)
+        now = scratch(_stars(now, label), label)
         if (then := mark(now)) == seen:
             break
         seen = then

@@ -6,8 +6,10 @@ Level j of all permutations is computed at once, and a document stops as soon as
 value below the next level. Bands of slots propose buckets; links are confirmed on the full sets.
 
 Copies of a set are one class from the start. In a bucket no pairs are listed: each member is held
-against two hubs (the most central member and the smallest id). Clusters that this leaves in
-several parts are compared exactly in blocks: members outside the largest part against everyone.
+against two hubs (the most central member and the smallest id). Clusters of buckets that this leaves
+in several parts go through an exact join: of shingles ordered from rare to common, similar sets
+share one among the first, so only members that do are compared, in blocks by size, and only across
+parts. What a crowd has in common (a boilerplate text) stands last and brings nobody together.
 
 Documents without words (null, empty or blank texts) have no shingles and link with nothing. Rows
 with equal ids are one document of that id only in the class they share; ids are meant to be unique there.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat_chunks, mix64, scratch, shingle_hashes
+from gridloom.llm.common import flat_chunks, free_name, mix64, salted_join, scratch, shingle_hashes
 from gridloom.llm.components import components
 
 BANDS, ROWS = 20, 5
@@ -32,6 +34,8 @@ BANDS, ROWS = 20, 5
 CHUNK_BYTES = 1 << 20
 #: Members of one block in the exact comparison of what hubs left apart.
 BLOCK = 128
+#: Counters that order shingles by how common they are, as a power of two. Which order it is changes the work and not the result.
+ORDER_BITS = 20
 #: Bits of the candidates' bit map, as a power of two, at most: its size doesn't grow with the data beyond.
 BITMAP_BITS = 26
 
@@ -125,8 +129,8 @@ def _some_sets(df: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     word = F.shiftright(F.xxhash64("node").bitwiseAND(F.lit(mask)), 6)
     bit = F.expr(f"shiftleft(1L, cast(xxhash64(node) & {mask} & 63 as int))")
     bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for row in ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        bitmap[row.w] = row.b
+    words = ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,7 @@ def _block_links(num: int, den: int):
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, part, outside = (table.column(c).to_numpy() for c in ("node", "part", "outside"))
+        node, part = (table.column(c).to_numpy() for c in ("node", "part"))
         sets = table.column("s").combine_chunks()
         flat, at = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
         n, size = len(node), np.diff(at)
@@ -164,7 +168,7 @@ def _block_links(num: int, den: int):
             both += dense @ dense.T
         inter = np.rint(both).astype(np.int64)
         union = size[:, None] + size[None, :] - inter
-        ok = (inter * den >= num * union) & (part[:, None] != part[None, :]) & outside[:, None].astype(bool)
+        ok = (inter * den >= num * union) & (part[:, None] != part[None, :])
         x, y = np.nonzero(ok)
         root: dict[int, int] = {}
 
@@ -185,6 +189,37 @@ def _block_links(num: int, den: int):
     return work
 
 
+def _prefix_keys(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, part, n): the rarest shingles of each set, of which similar sets share one. ``members``: node, part, s."""
+    mask = (1 << ORDER_BITS) - 1
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot, count = np.unique(batch.column(0).flatten().to_numpy() & mask, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(count)], ["spot", "c"])
+
+    counted = members.select("s").mapInArrow(tally, "spot long, c long").groupBy("spot").agg(F.sum("c").alias("c")).toArrow()
+    common = np.zeros(mask + 1, np.int64)
+    common[counted.column("spot").to_numpy()] = counted.column("c").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(common)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = [], []
+            for one in batch.column(2):
+                x = one.values.to_numpy()
+                # similar sets have ceil(t n) in common, so one of the first n - ceil(t n) + 1
+                take = len(x) - -(-num * len(x) // den) + 1
+                lists.append(x[np.lexsort((x, shared.value[x & mask]))[:take]])
+                sizes.append(len(x))
+            width = [len(x) for x in lists]
+            pick = np.repeat(np.arange(len(lists)), width)
+            node, part = (batch.column(i).take(pa.array(pick)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)), node, part, pa.array(np.array(sizes, np.int64)[pick])], ["key", "node", "part", "n"])
+
+    return members.select("node", "part", "s").mapInArrow(first, "key long, node long, part long, n long")
+
+
 def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``df``; links have Jaccard >= ``threshold`` on k-word shingles."""
     exact = Fraction(str(threshold))
@@ -193,34 +228,47 @@ def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = B
     # classes of equal sets: the smallest id stands for all
     classes = scratch(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "near-classes")
     posts = classes.select("node", F.explode("bands").alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
-    shared = scratch(posts.join(sizes, "key"), "near-buckets")
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    mates = shared.join(hubs, "key").groupBy("node").agg(F.array_union(F.collect_set("hub"), F.collect_set("low")).alias("hubs"))
+    sizes = scratch(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"), "near-sizes")
+    n_posts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = scratch(salted_join(posts, sizes, "key", "node", sizes.select("key", "n"), n_posts), "near-buckets")
+    degree = scratch(shared.groupBy("node").agg(F.sum("n").alias("degree")), "near-degrees")
+    hubs = scratch(shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "near-hubs")
+    mates = salted_join(shared, hubs, "key", "node", sizes.select("key", "n"), n_posts).groupBy("node").agg(F.array_union(F.collect_set("hub"), F.collect_set("low")).alias("hubs"))
     pairs = mates.select(F.col("node").alias("x"), F.explode("hubs").alias("y")).where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = scratch(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
     sets = scratch(_some_sets(df, degree.select("node"), k), "near-sets")
-    left, right = sets.toDF("x", "sx"), sets.toDF("y", "sy")
-    counted = pairs.join(left, "x").join(right, "y")
+    n_pairs = pairs.count()
+    with_x = salted_join(pairs, sets.toDF("x", "sx"), "x", "y", pairs.groupBy("x").agg(F.count("*").alias("n")), n_pairs)
+    counted = salted_join(with_x, sets.toDF("y", "sy"), "y", "x", pairs.groupBy("y").agg(F.count("*").alias("n")), n_pairs)
     alike = lambda a, b: (F.least(F.size(a), F.size(b)) * den >= F.greatest(F.size(a), F.size(b)) * num)
     common = F.when(alike("sx", "sy"), F.size(F.array_intersect("sx", "sy"))).otherwise(0)
     linked = counted.select("x", "y", common.alias("i"), (F.size("sx") + F.size("sy")).alias("both")).where(F.col("i") * den >= (F.col("both") - F.col("i")) * num)
     links = scratch(linked.select("x", "y"), "near-links")
     parts = scratch(components(links), "near-parts")
-    # what shares buckets but isn't in one part yet: outside members against all, in blocks
+    # what shares buckets but isn't in one part yet
     clusters = components(shared.where("node <> low").select("node", "low")).toDF("node", "cluster")
     placed = scratch(clusters.join(parts, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("part")), "near-clusters")
-    by_part = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
-    main = main.select("cluster", "n", F.col("largest.part").alias("main"), (F.col("n") - F.col("largest.n")).alias("n_out"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    members = placed.join(main, "cluster").withColumn("outside", F.col("part") != F.col("main")).withColumn("h", F.xxhash64("node"))
-    out_block, any_block = F.pmod("h", blocks("n_out")).cast("int"), F.pmod("h", blocks("n")).cast("int")
-    as_out = members.where("outside").select("cluster", "node", "part", F.lit(1).alias("outside"), out_block.alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
-    as_any = members.select("cluster", "node", "part", F.lit(0).alias("outside"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), any_block.alias("j"))
-    dealt = as_out.union(as_any).groupBy("cluster", "i", "j", "node").agg(F.first("part").alias("part"), F.max("outside").alias("outside"))
-    found = dealt.join(sets, "node").groupBy("cluster", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
+    undecided = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and n > 2")
+    undecided = scratch(undecided.select("cluster", "n"), "near-open")
+    members = salted_join(placed, undecided.select("cluster"), "cluster", "node", undecided, placed.count()).select("node", "part")
+    members = scratch(members.join(sets, "node"), "near-members")
+    keys = scratch(_prefix_keys(members, num, den), "near-keys")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    groups = scratch(groups.select("key", "n"), "near-groups")
+    dealt = salted_join(keys, groups.withColumnRenamed("n", "n_key"), "key", "node", groups, keys.count())
+    # sets of similar sizes are in one range of sizes or in neighbours; within two ranges, blocks of members
+    ratio = 1.001 * float(np.log(den / num)) if num < den else 1.0
+    dealt = dealt.withColumn("range", F.floor(F.log("n") / ratio).cast("int"))
+    blocks = F.ceil(F.col("n_key") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = dealt.select("key", "node", "part", F.explode(F.array(F.col("range"), F.col("range") - 1)).alias("r"), own.alias("own"), blocks.alias("blocks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    spread = spread.select("key", "node", "part", "r", F.explode(every).alias("b")).select("key", "r", "b.i", "b.j", "node", "part")
+    # the same members may meet under many keys: once is enough
+    together = spread.groupBy("key", "r", "i", "j").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("x2"), F.min("part").alias("low"), F.max("part").alias("high"))
+    once = together.where("low < high").groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "r", "i", "j")).alias("g")).select("g.*")
+    met = scratch(spread.join(once, ["key", "r", "i", "j"]), "near-met")
+    found = met.join(sets, "node").groupBy("key", "r", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
     found = scratch(found, "near-found")
     final = components(links.union(found)).toDF("node", "component")
     rooted = classes.join(final, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -233,9 +281,10 @@ def keep_first(df: DataFrame, k: int = 5, threshold: float = 0.8, **options) ->
 
     Every row has a key of its own, so repeated rows and null ids count like other copies.
     """
-    keyed = scratch(df.withColumn("__row_key", F.monotonically_increasing_id()), "near-keyed")
-    found = duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), k, threshold, **options)
-    ids = keyed.select("__row_key", F.col("doc_id").cast("long").alias("id"))
-    placed = ids.join(found.select(F.col("doc_id").alias("__row_key"), "component_id"), "__row_key")
-    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row_key"))["__row_key"].alias("__row_key"))
-    return keyed.join(first.select("__row_key"), "__row_key", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    key = free_name(df, "__row_key")
+    keyed = scratch(df.withColumn(key, F.monotonically_increasing_id()), "near-keyed")
+    found = duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), k, threshold, **options)
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    placed = ids.join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(key))
+    return keyed.join(first.select(key), key, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

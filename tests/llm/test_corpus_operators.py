@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, knn_join, near_dedup, packing, queries, suffix_dedup, token_counts
+from gridloom.llm import bpe, common, knn_join, near_dedup, packing, queries, suffix_dedup, token_counts
 from gridloom.llm.components import components
 from tests.llm.conftest import words
 from tests.oracle import connect, same
@@ -97,11 +97,41 @@ def test_near_duplicates(spark, odd_texts, odd_docs, no_docs, repeated_docs, mon
         assert near_dedup.duplicates(repeated_docs, k, threshold).count() == 8
 
 
+def test_hot_buckets_and_hubs(spark, monkeypatch):
+    """Thousands of near copies in the same buckets, and texts that share a boilerplate and are not alike, with all limits of pieces low."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng = random.Random(21)
+    base, boiler = words(rng, 120, 5000), words(rng, 90, 5000)
+    texts = [base + f" {i % 40}" for i in range(2500)]
+    texts += [f"{boiler} {words(rng, 45, 10**6)}" for _ in range(150)]
+    texts += [f"{boiler} {t} {words(rng, 4, 10**6)}" for t in (words(rng, 40, 10**6) for _ in range(40)) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    # classes of equal texts stand for all, so that brute force has few to compare
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want, _ = plain_groups({i: t for t, i in first.items()}, 5, 80, 100)
+    got = {r.doc_id: r.component_id for r in near_dedup.duplicates(rows).collect()}
+    assert got == {i: want[first[t]] for i, t in enumerate(texts)}
+    assert len(set(got.values())) < 250
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    many = spark.createDataFrame([(k, v) for k, n in ((1, 500), (2, 3), (3, 25)) for v in range(n)], "k long, v long").repartition(3)
+    one = spark.createDataFrame([(1, "a"), (3, "c"), (4, "d")], "k long, name string")
+    got = common.salted_join(many, one, "k", "v", many.groupBy("k").agg(F.count("*").alias("n")), 528)
+    assert sorted((r.k, r.v, r.name) for r in got.collect()) == sorted([(1, v, "a") for v in range(500)] + [(3, v, "c") for v in range(25)])
+
+
 def test_one_row_of_each_group_stays(spark):
     rng = random.Random(5)
     a, b, c = (words(rng, 80, 5000) for _ in range(3))
-    rows = [(1, a), (1, a), (4, a), (None, b), (None, b), (None, c), (9, c), (9, c), (7, ""), (None, "")]
-    kept = near_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    rows = [(*r, 5, 6) for r in ((1, a), (1, a), (4, a), (None, b), (None, b), (None, c), (9, c), (9, c), (7, ""), (None, ""))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone long, __ROW_key long").repartition(3)
+    assert near_dedup.keep_first(df).columns == df.columns and near_dedup.keep_first(df.limit(0)).count() == 0
+    kept = near_dedup.keep_first(df).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, a), (0, b), (9, c), (7, ""), (0, "")])
 
 
