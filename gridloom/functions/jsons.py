@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from gridloom.plans.model import StoreError, check_json
 
@@ -23,6 +23,11 @@ def _json_ok(texts: pd.Series) -> pd.Series:
     return texts.map(_ok).astype(bool)
 
 
-def json_ok(column: Column) -> Column:
-    """Whether the text is empty, null or JSON; comments and white space around it are fine."""
-    return _json_ok(column)
+def json_ok(*columns: Column) -> Column:
+    """Whether the text is empty, null or JSON; comments and white space around it are fine. For several columns an array, in one pass."""
+    return _json_ok(columns[0]) if len(columns) == 1 else _json_all(*columns)
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _json_all(*texts: pd.Series) -> pd.Series:
+    return pd.Series([[_ok(t) for t in row] for row in zip(*texts, strict=True)], dtype=object)

@@ -7,6 +7,8 @@ those over repeated edges. A frame without a partner is dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,16 +60,26 @@ def halve(image: np.ndarray) -> np.ndarray:
     return mean.astype(image.dtype)
 
 
+def mean_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The mean of two images, cut towards zero."""
+    return (0.5 * (a.astype(np.float64) + b.astype(np.float64))).astype(a.dtype)
+
+
 def next_level(frames: DataFrame, cfg: StoreConfig, width: int, height: int) -> DataFrame:
-    """frame_id and data of the next level: each pair of frames is one group."""
+    """frame_id and data of the next level. Frames are halved where they are; only halves are dealt out, by pair."""
     kind = np.dtype("<" + DTYPES[cfg.dtype])
+    half = ((height + 1) // 2, (width + 1) // 2)
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [halve(np.frombuffer(raw.as_buffer(), kind).reshape(height, width)).tobytes() for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["frame_id", "data"])
 
-    def work(key: tuple, table: pa.Table) -> pa.Table:
+    def paired(key: tuple, table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
             return pa.table({"frame_id": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        a, b = (halve(np.frombuffer(raw, kind).reshape(height, width)) for raw in table.sort_by("frame_id").column("data").to_pylist())
-        both = (0.5 * (a.astype(np.float64) + b.astype(np.float64))).astype(kind)
-        return pa.table({"frame_id": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([both.tobytes()], pa.binary())})
+        a, b = (np.frombuffer(raw, kind).reshape(half) for raw in table.sort_by("frame_id").column("data").to_pylist())
+        return pa.table({"frame_id": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([mean_of(a, b).tobytes()], pa.binary())})
 
-    paired = frames.select(F.col("frame_id").cast("long"), "data").withColumn("pair", div(F.col("frame_id"), 2))
-    return paired.groupBy("pair").applyInArrow(work, "frame_id long, data binary")
+    small = frames.select(F.col("frame_id").cast("long"), "data").mapInArrow(halved, "frame_id long, data binary")
+    return small.withColumn("pair", div(F.col("frame_id"), 2)).groupBy("pair").applyInArrow(paired, "frame_id long, data binary")

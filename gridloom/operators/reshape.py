@@ -154,28 +154,164 @@ def unpack_shard(data: bytes, slots: int) -> dict[int, bytes]:
     return {i: data[a : a + n] for i, (a, n) in enumerate(entries) if a != MISSING}
 
 
-def shard_payloads(chunks: DataFrame, cfg: StoreConfig, shard: tuple[int, ...]) -> DataFrame:
-    """Shard coordinates and bytes; a shard is put together in one task, as it is one object."""
-    names = coord_names(cfg)
+def shard_payloads(frames: DataFrame, cfg: StoreConfig, chunk: tuple[int, ...], shard: tuple[int, ...], width: int, height: int) -> DataFrame:
+    """Shard coordinates and bytes. Tiles are dealt out once, by shard, and come in the order of their chunks.
+
+    A shard is put together in one task, as it is one object; the task holds one chunk's samples and the
+    shard's stored bytes.
+    """
+    names, planes = coord_names(cfg), math.prod(chunk[:-2])
     s_names = ["s" + n[1:] for n in names]
-    slots = math.prod(shard)
+    item = np.dtype(DTYPES[cfg.dtype]).itemsize
+    tile_bytes, slots = chunk[-2] * chunk[-1] * item, math.prod(shard)
 
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        parts = list(zip(table.column("slot").to_pylist(), table.column("payload").to_pylist(), strict=True))
-        return pa.table({**{n: pa.array([k.as_py()], pa.int64()) for n, k in zip(s_names, key, strict=True)}, "payload": pa.array([pack_shard(parts, slots)], pa.binary())})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, slot, samples, parts = None, None, bytearray(), []
+
+        def close_chunk() -> None:
+            if slot is not None:
+                parts.append((slot, compress(bytes(samples), cfg.codec, cfg.level, cfg.shuffle, item)))
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in at), pa.array([pack_shard(parts, slots)], pa.binary())], [*s_names, "payload"])
 
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for *key, now, plane, tile in zip(*columns, batch.column(batch.num_columns - 1), strict=True):
+                if key != at or now != slot:
+                    close_chunk()
+                    if key != at:
+                        if at is not None:
+                            yield made()
+                        at, parts = key, []
+                    slot, samples = now, bytearray(planes * tile_bytes)
+                samples[plane * tile_bytes : (plane + 1) * tile_bytes] = tile.as_buffer()
+        close_chunk()
+        if at is not None:
+            yield made()
+
+    placed = shard_grid(tiles(frames, cfg, chunk, width, height), shard, tuple(names)).select(*s_names, "slot", "plane", "tile")
     schema = ", ".join(f"{n} long" for n in s_names) + ", payload binary"
-    return shard_grid(chunks, shard, tuple(names)).groupBy(*s_names).applyInArrow(work, schema)
+    return placed.repartition(*s_names).sortWithinPartitions(*s_names, "slot", "plane").mapInArrow(work, schema)
 
 
 def objects(frames: DataFrame, cfg: StoreConfig, level) -> DataFrame:
     """key and payload of every data object of a level."""
     from gridloom.plans.metadata import level_chunk, level_shard
 
-    chunk = tuple(level_chunk(cfg, level))
-    made = chunk_payloads(frames, cfg, chunk, level.width, level.height)
-    names = coord_names(cfg)
+    chunk, names = tuple(level_chunk(cfg, level)), coord_names(cfg)
     if cfg.version == 3:
-        made, names = shard_payloads(made, cfg, tuple(level_shard(cfg, level))), ["s" + n[1:] for n in names]
+        made, names = shard_payloads(frames, cfg, chunk, tuple(level_shard(cfg, level)), level.width, level.height), ["s" + n[1:] for n in names]
+    else:
+        made = chunk_payloads(frames, cfg, chunk, level.width, level.height)
     key = F.concat(F.lit(f"{level.level}/"), object_key([F.col(n) for n in names], cfg.version))
     return made.select(key.alias("key"), "payload")
+
+
+def object_count(cfg: StoreConfig, level, n_frames: int) -> int:
+    """Objects of a level that so many frames touch."""
+    from gridloom.plans.metadata import level_chunk, level_shard
+
+    chunk = level_chunk(cfg, level)
+    extent = [c * s for c, s in zip(chunk, level_shard(cfg, level), strict=True)] if cfg.version == 3 else chunk
+    in_frame = -(-level.height // extent[-2]) * -(-level.width // extent[-1])
+    between = list(zip(cfg.interior, extent[1:-2], strict=True))
+    whole, rest = divmod(n_frames, cfg.frames_per_step * extent[0])
+    # frames behind the last whole append object touch what lies between only as far as they go
+    touched = set()
+    for i in range(min(rest, cfg.frames_per_step)):
+        at = []
+        for n, e in reversed(between):
+            at.append(i % n // e)
+            i //= n
+        touched.add(tuple(at))
+    return (whole * math.prod(-(-n // e) for n, e in between) + len(touched)) * in_frame
+
+
+class Assembler:
+    """All levels' objects from frames that come one by one, by ascending id, with no shuffle.
+
+    ``put`` takes (key, payload). Held are the samples of one append-chunk a level, with version 3 also
+    the stored chunks of one append-shard, and with a pyramid one halved frame a level. The first frame
+    must begin an append unit: see ``unit_frames``.
+    """
+
+    def __init__(self, cfg: StoreConfig, put):
+        from gridloom.plans.metadata import level_chunk, level_shard, store_levels
+
+        self.cfg, self.put, self.kind = cfg, put, np.dtype("<" + DTYPES[cfg.dtype])
+        self.levels = store_levels(cfg, 0)
+        self.chunks = [tuple(level_chunk(cfg, v)) for v in self.levels]
+        self.shards = [tuple(level_shard(cfg, v)) if cfg.version == 3 else (1,) * len(cfg.dims) for v in self.levels]
+        self.open: list[dict] = [{} for _ in self.levels]  # by outer chunk coordinates, (planes, padded height, padded width) samples
+        self.stored: list[dict] = [{} for _ in self.levels]  # by shard, its chunks by slot
+        self.waiting: list[tuple[int, np.ndarray] | None] = [None] * len(self.levels)
+
+    def feed(self, frame_id: int, data: bytes | memoryview) -> None:
+        want = self.cfg.width * self.cfg.height * self.kind.itemsize
+        if len(data) != want:
+            raise ValueError(f"frame {frame_id} has {len(data)} bytes, not {want}")
+        self._place(0, frame_id, np.frombuffer(data, self.kind).reshape(self.cfg.height, self.cfg.width))
+
+    def _place(self, i: int, frame_id: int, image: np.ndarray) -> None:
+        from gridloom.operators.pyramid import halve, mean_of
+
+        chunk, outer = self.chunks[i], self.chunks[i][:-2]
+        coords, rest = [], frame_id
+        for n in reversed(self.cfg.interior):
+            coords.append(rest % n)
+            rest //= n
+        coords = [rest, *reversed(coords)]
+        if any(key[0] != coords[0] // outer[0] for key in self.open[i]):
+            self._close_chunks(i)
+        if any(key[0] != coords[0] // (outer[0] * self.shards[i][0]) for key in self.stored[i]):
+            self._close_shards(i)
+        plane = 0
+        for c, n in zip(coords, outer, strict=True):
+            plane = plane * n + c % n
+        key = tuple(c // n for c, n in zip(coords, outer, strict=True))
+        ch, cw = chunk[-2:]
+        if key not in self.open[i]:
+            self.open[i][key] = np.zeros((math.prod(outer), -(-image.shape[0] // ch) * ch, -(-image.shape[1] // cw) * cw), self.kind)
+        self.open[i][key][plane, : image.shape[0], : image.shape[1]] = image
+        if i + 1 < len(self.levels):
+            half, last = halve(image), self.waiting[i]
+            if frame_id % 2 == 0:
+                self.waiting[i] = (frame_id, half)
+            elif last is not None and last[0] == frame_id - 1:
+                self.waiting[i] = None
+                self._place(i + 1, frame_id // 2, mean_of(last[1], half))
+
+    def _close_chunks(self, i: int) -> None:
+        ch, cw = self.chunks[i][-2:]
+        for key, samples in self.open[i].items():
+            for y in range(samples.shape[1] // ch):
+                for x in range(samples.shape[2] // cw):
+                    block = samples[:, y * ch : (y + 1) * ch, x * cw : (x + 1) * cw]
+                    stored = compress(block.tobytes(), self.cfg.codec, self.cfg.level, self.cfg.shuffle, self.kind.itemsize)
+                    at = (*key, y, x)
+                    if self.cfg.version == 2:
+                        self.put(f"{i}/" + "/".join(map(str, at)), stored)
+                        continue
+                    slot = 0
+                    for c, n in zip(at, self.shards[i], strict=True):
+                        slot = slot * n + c % n
+                    self.stored[i].setdefault(tuple(c // n for c, n in zip(at, self.shards[i], strict=True)), []).append((slot, stored))
+        self.open[i] = {}
+
+    def _close_shards(self, i: int) -> None:
+        for key, parts in self.stored[i].items():
+            self.put(f"{i}/c/" + "/".join(map(str, key)), pack_shard(parts, math.prod(self.shards[i])))
+        self.stored[i] = {}
+
+    def finish(self) -> None:
+        for i in range(len(self.levels)):
+            self._close_chunks(i)
+            self._close_shards(i)
+
+
+def unit_frames(cfg: StoreConfig) -> int:
+    """Frames of an append unit: they touch no object of any level that others touch."""
+    from gridloom.plans.metadata import store_levels
+
+    return cfg.chunk_shape[0] * cfg.frames_per_step * (cfg.shard_shape[0] if cfg.version == 3 else 1) * 2 ** store_levels(cfg, 0)[-1].level

@@ -204,15 +204,15 @@ def multiscale_ready(dims: tuple[Dimension, ...]) -> bool:
     return len(dims) >= 3 and all(d.kind is Kind.SPACE for d in dims[-2:]) and all(d.array_size == 1 for d in dims[1:-2])
 
 
-_log = logging.getLogger("gridloom")
+log = logging.getLogger("gridloom")
 #: fixed values: log levels from the most to the least talkative
 LOG_LEVELS = {"debug": logging.DEBUG, "info": logging.INFO, "warning": logging.WARNING, "error": logging.ERROR, "none": logging.CRITICAL + 1}
 
 
 def set_log_level(name: str) -> None:
     require(name in LOG_LEVELS, f"unknown log level {name!r}", StatusCode.InvalidArgument)
-    _log.setLevel(LOG_LEVELS[name])
+    log.setLevel(LOG_LEVELS[name])
 
 
 def get_log_level() -> str:
-    return next((k for k, v in LOG_LEVELS.items() if v == _log.level), "error")
+    return next((k for k, v in LOG_LEVELS.items() if v == log.level), "error")

@@ -2,6 +2,9 @@
 
 Data objects are written by executors, each by one task attempt under a name of its own that is
 renamed when it is whole; metadata come last, from the driver, so a store without them isn't ready.
+
+``write`` deals frames out by object. ``df.write.format("gridloom")`` writes frames where they are: see
+``clustered``.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import json
 import math
 import os
 import posixpath
+import stat
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, Filter, InputPartition, WriterCommitMessage
 
 from gridloom.functions.codec import decompress
 from gridloom.functions.uri import is_web_uri, s3_parts, strip_scheme
+from gridloom.functions.geometry import div
 from gridloom.operators.pyramid import next_level
-from gridloom.operators.reshape import objects, unpack_shard
-from gridloom.plans.metadata import ARRAY_V2, NODE_V3, documents, store_levels
-from gridloom.plans.model import DTYPES, StatusCode, StoreConfig, StoreError, multiscale_ready, require
+from gridloom.operators.reshape import Assembler, object_count, objects, unit_frames, unpack_shard
+from gridloom.plans.metadata import ARRAY_V2, ATTRIBUTES_V2, GROUP_V2, NODE_V3, USER_METADATA, documents, store_levels
+from gridloom.plans.model import DTYPES, StatusCode, StoreConfig, StoreError, dimensions, multiscale_ready, require
+from gridloom.sources.shared import written
 
 
 def open_fs(uri: str, access_key: str | None = None, secret_key: str | None = None) -> tuple[fs.FileSystem, str]:
@@ -46,13 +53,51 @@ def check_target(cfg: StoreConfig) -> None:
         return
     parent = os.path.dirname(os.path.abspath(strip_scheme(cfg.uri)))
     require(os.path.isdir(parent), f"{parent} isn't a folder", StatusCode.IOError)
-    require(os.access(parent, os.W_OK), f"{parent} can't be written to", StatusCode.IOError)
+    bits = os.stat(parent).st_mode & (stat.S_IWUSR | stat.S_IWGRP | stat.S_IWOTH)
+    require(bool(bits) and os.access(parent, os.W_OK), f"{parent} can't be written to", StatusCode.IOError)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    objects: int
+    """What a task wrote: its objects' names, and for frames their units and how far they go."""
+
+    keys: list[str]
     bytes: int
+    units: list[int] | None = None
+    upto: int = 0
+
+
+class Objects:
+    """Puts objects below a root. ``undo`` takes back what was put."""
+
+    def __init__(self, options: dict[str, str]):
+        self.target, self.root = open_fs(options["path"], options.get("access_key"), options.get("secret_key"))
+        self.local = isinstance(self.target, fs.LocalFileSystem)
+        self.keys: list[str] = []
+        self.bytes = 0
+
+    def put(self, key: str, data) -> None:
+        path = posixpath.join(self.root, key)
+        part = f"{path}.{uuid.uuid4().hex}" if self.local else path  # a service shows an object only when it is whole
+        if self.local:
+            self.target.create_dir(posixpath.dirname(path), recursive=True)
+        try:
+            with self.target.open_output_stream(part) as out:
+                out.write(data)
+        except BaseException:
+            if self.local and self.target.get_file_info(part).type == fs.FileType.File:
+                self.target.delete_file(part)
+            raise
+        if self.local:
+            self.target.move(part, path)
+        self.keys.append(key)
+        self.bytes += len(data)
+
+    def undo(self, keys: list[str]) -> None:
+        for key in keys:
+            path = posixpath.join(self.root, key)
+            if self.target.get_file_info(path).type == fs.FileType.File:
+                self.target.delete_file(path)
 
 
 class ObjectWriter(DataSourceArrowWriter):
@@ -62,33 +107,22 @@ class ObjectWriter(DataSourceArrowWriter):
         self.options = dict(options)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        target, root = open_fs(self.options["path"], self.options.get("access_key"), self.options.get("secret_key"))
-        n = size = 0
-        local = isinstance(target, fs.LocalFileSystem)
+        out = Objects(self.options)
         for batch in iterator:
             for key, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                path = posixpath.join(root, key)
-                data = payload.as_buffer()
-                if local:
-                    target.create_dir(posixpath.dirname(path), recursive=True)
-                    part = f"{path}.{uuid.uuid4().hex}"
-                    with target.open_output_stream(part) as out:
-                        out.write(data)
-                    target.move(part, path)
-                else:  # a service shows an object only when it is whole
-                    with target.open_output_stream(path) as out:
-                        out.write(data)
-                n, size = n + 1, size + data.size
-        return Written(n, size)
+                out.put(key, payload.as_buffer().to_pybytes())
+        return Written(out.keys, out.bytes)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         want = self.options.get("expected_objects")
-        have = sum(m.objects for m in messages if m)
+        have = sum(len(m.keys) for m in messages if m)
         if want is not None and have != int(want):
+            self.abort(messages)
             raise StoreError(StatusCode.IOError, f"{have} objects written of {want}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        return None
+        """Take back what the tasks wrote that had finished."""
+        Objects(self.options).undo([k for m in messages if m for k in m.keys])
 
 
 class ObjectSink(DataSource):
@@ -143,13 +177,26 @@ def array_info(target: fs.FileSystem, root: str, level: int) -> ArrayInfo:
     return ArrayInfo(3, tuple(new["shape"]), chunk, shard, new["data_type"], codec)
 
 
+#: Samples of the objects that one partition reads, in bytes.
+PARTITION_BYTES = 128 << 20
+
+
 @dataclass
 class ObjectPart(InputPartition):
-    key: tuple[int, ...]
+    """A run of objects, by row-major place in a box of object coordinates."""
+
+    low: tuple[int, ...]
+    size: tuple[int, ...]
+    start: int
+    stop: int
+
+    def keys(self) -> Iterator[tuple[int, ...]]:
+        for i in range(self.start, self.stop):
+            yield tuple(int(k) + a for k, a in zip(np.unravel_index(i, self.size), self.low, strict=True))
 
 
 class StoreReader(DataSourceReader):
-    """One partition a data object. Bounds on t, y and x that Spark pushes down leave whole objects out."""
+    """One partition for PARTITION_BYTES of objects. Bounds on t, y and x that Spark pushes down leave whole objects out."""
 
     def __init__(self, options: dict[str, str]):
         self.options, self.level = dict(options), int(options.get("level", 0))
@@ -176,18 +223,24 @@ class StoreReader(DataSourceReader):
 
     def partitions(self) -> list[ObjectPart]:
         info = self.info
-        grid = tuple(-(-n // s) for n, s in zip(info.chunk_counts, info.shard, strict=True))
-        out = []
-        for i in range(math.prod(grid)):
-            key = tuple(int(k) for k in np.unravel_index(i, grid))
-            extent = [c * s for c, s in zip(info.chunk, info.shard, strict=True)]
-            if all(low < (key[a] + 1) * extent[a] and high >= key[a] * extent[a] for a, (low, high) in self.bounds.items()):
-                out.append(ObjectPart(key))
-        return out
+        grid = [-(-n // s) for n, s in zip(info.chunk_counts, info.shard, strict=True)]
+        extent = [c * s for c, s in zip(info.chunk, info.shard, strict=True)]
+        low, high = [0] * len(grid), list(grid)
+        for a, (least, most) in self.bounds.items():
+            low[a] = min(grid[a], max(0, int(least) // extent[a]))
+            high[a] = min(grid[a], max(low[a], int(most) // extent[a] + 1)) if most < math.inf else grid[a]
+        size = tuple(h - n for n, h in zip(low, high, strict=True))
+        total, object_bytes = math.prod(size), math.prod(extent) * int(DTYPES[info.dtype][1:])
+        step = max(1, int(self.options.get("partition_bytes", PARTITION_BYTES)) // object_bytes)
+        return [ObjectPart(tuple(low), size, i, min(i + step, total)) for i in range(0, total, step)]
 
     def read(self, partition: ObjectPart) -> Iterator[pa.RecordBatch]:
-        info, (target, root) = self.info, self.open()
-        name = "/".join(map(str, partition.key))
+        target, root = self.open()
+        for key in partition.keys():
+            yield from self._object(target, root, key)
+
+    def _object(self, target: fs.FileSystem, root: str, key: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+        info, name = self.info, "/".join(map(str, key))
         path = f"{root}/{self.level}/{'c/' if info.version == 3 else ''}{name}"
         if target.get_file_info(path).type != fs.FileType.File:
             return
@@ -197,7 +250,7 @@ class StoreReader(DataSourceReader):
         kind = np.dtype("<" + DTYPES[info.dtype])
         for slot, raw in chunks.items():
             inner = np.unravel_index(slot, info.shard)
-            base = [(k * s + int(i)) * c for k, s, i, c in zip(partition.key, info.shard, inner, info.chunk, strict=True)]
+            base = [(k * s + int(i)) * c for k, s, i, c in zip(key, info.shard, inner, info.chunk, strict=True)]
             block = np.frombuffer(decompress(raw, info.codec), kind).reshape(info.chunk)
             keep = tuple(slice(0, max(0, n - b)) for n, b in zip(info.shape, base, strict=True))
             block = block[keep]
@@ -210,10 +263,123 @@ class StoreReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(coords[0]), pa.array(inner_id), pa.array(coords[-2]), pa.array(coords[-1]), pa.array(value)], ["t", "inner", "y", "x", "value"])
 
 
+def options_of(cfg: StoreConfig) -> dict[str, str]:
+    """All settings as options of the ``gridloom`` format."""
+    dims = json.dumps([[d.name, d.kind.value, d.array_size, d.chunk_size, d.shard_chunks] for d in cfg.dims])
+    made = {"path": cfg.uri, "dims": dims, "version": str(cfg.version), "codec": cfg.codec or "none", "clevel": str(cfg.level), "shuffle": str(cfg.shuffle), "multiscale": str(cfg.multiscale).lower(), "dtype": cfg.dtype, "metadata": cfg.metadata}
+    return made | ({"access_key": cfg.access_key, "secret_key": cfg.secret_key} if cfg.access_key else {})
+
+
+def config_of(options: dict[str, str]) -> StoreConfig:
+    """The settings that options give; ``dims`` is JSON rows of name, kind, array size, chunk size and shard size."""
+    require("dims" in options, "frames need the option dims")
+    codec = options.get("codec", "none")
+    return StoreConfig(
+        options["path"],
+        dimensions(*json.loads(options["dims"])),
+        int(options.get("version", 2)),
+        None if codec == "none" else codec,
+        int(options.get("clevel", 1)),
+        int(options.get("shuffle", 1)),
+        options.get("multiscale", "false").lower() == "true",
+        options.get("dtype", "uint8"),
+        options.get("metadata", "{}"),
+        options.get("access_key"),
+        options.get("secret_key"),
+    ).check()
+
+
+class FrameWriter(DataSourceArrowWriter):
+    """Frames (frame_id, data) to a store, all levels, each task on its own: a task must hold whole append units, by ascending id."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.options = dict(options)
+        self.cfg = cfg = config_of(self.options)
+        check_target(cfg)
+        if cfg.multiscale:
+            require(multiscale_ready(cfg.dims), "a pyramid needs frames in space and no other dimension of more than one step")
+        if overwrite:
+            remove(cfg)
+        self.before = stored_frames(cfg)
+        require(self.before % unit_frames(cfg) == 0, f"the store ends within an append unit, at {self.before} frames", StatusCode.InvalidArgument)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        out, unit = Objects(self.options), unit_frames(self.cfg)
+        made, units, last = Assembler(self.cfg, out.put), [], None
+        for batch in iterator:
+            for frame_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                require(frame_id is not None and data.is_valid, "a frame lacks its id or data", StatusCode.InvalidArgument)
+                follows = frame_id == last + 1 if last is not None and frame_id % unit else frame_id % unit == 0 and (last is None or frame_id > last)
+                require(follows and (last is None or frame_id % unit or (last + 1) % unit == 0), f"frame {frame_id} came after {last}: cluster frames by append unit first", StatusCode.InvalidArgument)
+                if frame_id % unit == 0:
+                    units.append(frame_id // unit)
+                made.feed(frame_id, data.as_buffer())
+                last = frame_id
+        made.finish()
+        return Written(out.keys, out.bytes, units, 0 if last is None else last + 1)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        unit, units = unit_frames(self.cfg), sorted(u for m in messages if m for u in m.units)
+        n = max([self.before, *(m.upto for m in messages if m)])
+        if units != list(range(self.before // unit, -(-n // unit))):
+            self.abort(messages)
+            raise StoreError(StatusCode.InvalidArgument, f"append units {units[:9]}... don't follow {self.before} frames: cluster frames by append unit first")
+        want = sum(object_count(self.cfg, v, v.frames) for v in store_levels(self.cfg, n)) - sum(object_count(self.cfg, v, v.frames) for v in store_levels(self.cfg, self.before))
+        have = sum(len(m.keys) for m in messages if m)
+        if have != want:
+            self.abort(messages)
+            raise StoreError(StatusCode.IOError, f"{have} objects written of {want}")
+        write_metadata(self.cfg, n)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        Objects(self.options).undo([k for m in messages if m for k in m.keys])
+
+
+class FrameStreamWriter(DataSourceStreamArrowWriter, FrameWriter):
+    """The same for each micro-batch, which must hold whole append units; the last one may end within a unit.
+
+    For streams without that property there is ``StreamSink``. A batch that is repeated writes the same objects.
+    """
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        held = list(iterator)  # a stream can't be sorted, so a task sorts its part of the micro-batch
+        table = pa.Table.from_batches(held) if held else None
+        return FrameWriter.write(self, iter(table.sort_by(table.column_names[0]).to_batches() if table is not None else []))
+
+    def commit(self, messages: list[WriterCommitMessage | None], batch_id: int) -> None:
+        if not any(m and m.units for m in messages):
+            return
+        unit = unit_frames(self.cfg)
+        self.before = min(stored_frames(self.cfg), unit * min(u for m in messages if m for u in m.units))
+        FrameWriter.commit(self, messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None], batch_id: int) -> None:
+        FrameWriter.abort(self, messages)
+
+
+def stored_frames(cfg: StoreConfig) -> int:
+    """Frames that an existing store says it has, as whole steps of the append dimension; 0 where there is none."""
+    target, root = open_fs(cfg.uri, cfg.access_key, cfg.secret_key)
+    name = ARRAY_V2 if cfg.version == 2 else NODE_V3
+    if target.get_file_info(f"{root}/0/{name}").type != fs.FileType.File:
+        return 0
+    return array_info(target, root, 0).shape[0] * cfg.frames_per_step
+
+
+def clustered(frames: DataFrame, cfg: StoreConfig) -> DataFrame:
+    """Frames dealt out by append unit and in order, as the ``gridloom`` format takes them."""
+    unit = div(F.col("frame_id"), unit_frames(cfg))
+    chosen = frames.select(F.col("frame_id").cast("long"), F.col("data").cast("binary"))
+    return chosen.repartition(unit).sortWithinPartitions("frame_id")
+
+
 class StoreSource(DataSource):
     """``spark.read.format("gridloom").option("path", root).option("level", 0)``: t, inner, y, x, value.
 
     ``inner`` is the row-major place in the dimensions between the append dimension and the frame.
+
+    ``clustered(frames, cfg).write.format("gridloom").options(**options_of(cfg)).mode("overwrite").save()``
+    writes frame_id, data; ``append`` goes on behind a store of whole append units.
     """
 
     @classmethod
@@ -228,6 +394,12 @@ class StoreSource(DataSource):
     def reader(self, schema) -> StoreReader:
         return StoreReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> FrameWriter:
+        return FrameWriter(self.options, overwrite)
+
+    def streamWriter(self, schema, overwrite: bool) -> FrameStreamWriter:
+        return FrameStreamWriter(self.options, False)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ObjectSink)
@@ -248,31 +420,48 @@ def _secured(io, cfg: StoreConfig):
 
 
 def write_metadata(cfg: StoreConfig, n_frames: int) -> None:
-    target, root = open_fs(cfg.uri, cfg.access_key, cfg.secret_key)
+    out = Objects({"path": cfg.uri, "access_key": cfg.access_key, "secret_key": cfg.secret_key})
     for name, text in documents(cfg, n_frames).items():
-        path = posixpath.join(root, name)
-        target.create_dir(posixpath.dirname(path), recursive=True)
-        with target.open_output_stream(path) as out:
-            out.write(text.encode())
+        out.put(name, text.encode())
+
+
+def object_names(cfg: StoreConfig) -> list[tuple[str, int]]:
+    """Name below the root and size of everything in a store, by name."""
+    target, root = open_fs(cfg.uri, cfg.access_key, cfg.secret_key)
+    found = target.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+    return sorted((f.path[len(root) :].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File)
 
 
 def remove(cfg: StoreConfig) -> None:
+    """Delete what is at the target if it is a store, a part of one, or empty; anything else raises."""
     target, root = open_fs(cfg.uri, cfg.access_key, cfg.secret_key)
-    if target.get_file_info(root).type == fs.FileType.Directory:
-        target.delete_dir(root)
+    kind = target.get_file_info(root).type
+    if kind == fs.FileType.NotFound:
+        return
+    require(kind == fs.FileType.Directory, f"{cfg.uri} isn't a folder", StatusCode.IOError)
+    known = {USER_METADATA, GROUP_V2, ATTRIBUTES_V2, NODE_V3}
+    found = [f.base_name for f in target.get_file_info(fs.FileSelector(root))]
+    strange = [n for n in found if n not in known and not n.isdigit() and n.split(".")[0] not in ("", "acquire", "zarr")]
+    require(not strange, f"{cfg.uri} holds {strange[:3]} and isn't a store, so it stays", StatusCode.IOError)
+    target.delete_dir(root)
 
 
-def write_objects(frames: DataFrame, cfg: StoreConfig, n_frames: int) -> None:
-    """All levels' data objects. Levels above 0 are made from the one before."""
+def write_objects(frames: DataFrame, cfg: StoreConfig, upto: int, since: int = 0) -> None:
+    """All levels' data objects of frames from ``since`` (the end of an append unit) up to ``upto``.
+
+    Levels above 0 are made from the one before, which is written first, so that no level is made twice.
+    """
     register(frames.sparkSession)
     if cfg.multiscale:
         require(multiscale_ready(cfg.dims), "a pyramid needs frames in space and no other dimension of more than one step")
-    made = store_levels(cfg, n_frames)
+    made, before = store_levels(cfg, upto), store_levels(cfg, since)
     for level in made:
         if level.level:
             last = made[level.level - 1]
-            frames = next_level(frames, cfg, last.width, last.height)
-        _secured(objects(frames, cfg, level).write.format("gridloom_objects").option("path", cfg.uri), cfg).mode("append").save()
+            frames = written(next_level(frames, cfg, last.width, last.height), "level")
+        want = object_count(cfg, level, level.frames) - object_count(cfg, level, before[level.level].frames)
+        out = objects(frames, cfg, level).write.format("gridloom_objects").option("path", cfg.uri).option("expected_objects", want)
+        _secured(out, cfg).mode("append").save()
 
 
 def write(frames: DataFrame, cfg: StoreConfig) -> int:
@@ -280,8 +469,6 @@ def write(frames: DataFrame, cfg: StoreConfig) -> int:
 
     An old store is removed only when the frames have been counted and the settings are fine.
     """
-    from pyspark.sql import functions as F
-
     cfg = cfg.check()
     check_target(cfg)
     n, last = frames.agg(F.count("*"), F.max("frame_id")).first()

@@ -1,90 +1,118 @@
-"""Streaming sink: append-chunks are written as soon as all their frames are there, the rest at the end.
+"""Streaming sink: append units are written as soon as all their frames are there, the rest at the end.
 
-The unit is a count of frames, not event time. Each micro-batch is first kept under its batch id, so
-that a repeated batch replaces itself; objects are derived from kept frames only, under fixed names,
-so a repeat writes the same bytes. What is kept is dropped once its chunks are written, but for the
-frames that the pyramid's next levels still need.
+The unit is a count of frames, not event time. Each micro-batch is first kept under its batch id and
+its frames' units, so that a repeated batch replaces itself; objects are derived from kept frames
+only, under fixed names, so a repeat writes the same bytes. A unit is dropped from what is kept once
+its objects are written. How far that is stands in a small file beside the checkpoint, from which a
+run goes on whose driver was lost.
 """
 
 from __future__ import annotations
 
-import shutil
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.functions.geometry import div
-from gridloom.functions.uri import strip_scheme
-from gridloom.operators.pyramid import next_level
-from gridloom.operators.reshape import objects
-from gridloom.plans.metadata import store_levels
+from gridloom.operators.reshape import unit_frames
 from gridloom.plans.model import StatusCode, StoreConfig, require
-from gridloom.sources.store import _secured, check_target, register, remove, write_metadata
+from gridloom.sources.shared import Folder
+from gridloom.sources.store import check_target, register, remove, write_metadata, write_objects
 
-_SCHEMA = "frame_id long, data binary"
+_KEPT = "frame_id long, data binary, batch long, unit long"
+_STATE = "written.json"
 
 
 class StreamSink:
-    """One run of a streaming write. ``work``: a folder all executors share, for kept frames and the query's checkpoint."""
+    """One run of a streaming write. ``work``: a folder all executors share, on any file system; its subfolders ``kept`` and ``checkpoint`` and the file ``written.json`` are the sink's."""
 
     def __init__(self, spark: SparkSession, cfg: StoreConfig, work: str):
         self.spark, self.cfg, self.work = spark, cfg.check(), work.rstrip("/")
+        self.folder = Folder(spark, self.work)
         self.query: StreamingQuery | None = None
-        self.written = 0  # frames whose chunks are written
-        # frames of an append-chunk; with a pyramid, those of whole chunks of all levels
-        deepest = store_levels(self.cfg, 0)[-1].level
-        self.unit = self.cfg.chunk_shape[0] * self.cfg.frames_per_step * self.cfg.shard_shape[0] * 2**deepest
-
-    def _kept(self) -> DataFrame:
-        return self.spark.read.schema(_SCHEMA).parquet(f"{self.work}/kept").dropDuplicates(["frame_id"])
-
-    def _keep(self, batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("frame_id").cast("long"), "data").write.mode("overwrite").parquet(f"{self.work}/kept/batch={batch_id}")
-        held = self._kept().where(F.col("frame_id") >= self.written)
-        # frames may come out of order: only those without a gap before them count
-        n, low, high = held.agg(F.count("*"), F.min("frame_id"), F.max("frame_id")).first()
-        whole = self.written + n if n and low == self.written and high == low + n - 1 else self.written
-        done = whole // self.unit * self.unit
-        if done > self.written:
-            self._write(held.where(F.col("frame_id") < done), done)
+        self.written = 0  # frames whose objects are written
+        self.unit = unit_frames(self.cfg)
+
+    def _held(self) -> DataFrame:
+        """Kept frames that aren't written, each once."""
+        if not self.folder.names("kept"):
+            return self.spark.createDataFrame([], "frame_id long, data binary, unit long")
+        kept = self.spark.read.schema(_KEPT).option("basePath", f"{self.work}/kept").parquet(f"{self.work}/kept")
+        return kept.where((F.col("unit") >= self.written // self.unit) & (F.col("frame_id") >= self.written)).dropDuplicates(["unit", "frame_id"])
+
+    def take(self, batch: DataFrame, batch_id: int) -> int:
+        """Keep a micro-batch and write the units that are whole now; the frames written so far."""
+        frames = batch.select(F.col("frame_id").cast("long"), F.col("data").cast("binary")).where(F.col("frame_id") >= self.written)
+        frames.withColumn("unit", div(F.col("frame_id"), self.unit)).write.mode("overwrite").partitionBy("unit").parquet(f"{self.work}/kept/batch={batch_id}")
+        # frames may come out of order: units count when they and all before them are whole
+        full = {r.unit for r in self._held().groupBy("unit").agg(F.countDistinct("frame_id").alias("n")).where(F.col("n") == self.unit).collect()}
+        last = self.written // self.unit
+        while last in full:
+            last += 1
+        if last * self.unit > self.written:
+            self._write(self._held().where(F.col("unit") < last).select("frame_id", "data"), last * self.unit)
+        return self.written
 
     def _write(self, frames: DataFrame, upto: int) -> None:
-        for level in (made := store_levels(self.cfg, upto)):
-            if level.level:
-                frames = next_level(frames, self.cfg, made[level.level - 1].width, made[level.level - 1].height)
-            _secured(objects(frames, self.cfg, level).write.format("gridloom_objects").option("path", self.cfg.uri), self.cfg).mode("append").save()
+        write_objects(frames, self.cfg, upto, self.written)
         write_metadata(self.cfg, upto)
+        self.folder.save(_STATE, json.dumps({"frames": upto}))
         self.written = upto
-
-    def start(self, frames: DataFrame) -> StreamingQuery:
-        """Begin to write a stream of (frame_id, data); an old store at the same place goes."""
-        require(self.query is None, "the sink is running", StatusCode.InvalidArgument)
+        self._drop()
+
+    def _drop(self) -> None:
+        """Kept units that are written go."""
+        for batch in self.folder.names("kept"):
+            units = [n for n in self.folder.names(f"kept/{batch}") if n.startswith("unit=")]
+            gone = [n for n in units if (int(n[5:]) + 1) * self.unit <= self.written]
+            for name in gone if len(gone) < len(units) else []:
+                self.folder.delete(f"kept/{batch}/{name}")
+            if units and len(gone) == len(units):
+                self.folder.delete(f"kept/{batch}")
+
+    def begin(self, resume: bool = False) -> None:
+        """Make ready to take frames. A new run removes an old store and the sink's own files in the work folder; a resumed one goes on from them."""
         check_target(self.cfg)
         register(self.spark)
+        if resume:
+            self.written = json.loads(self.folder.load(_STATE) or '{"frames": 0}')["frames"]
+            require(self.written % self.unit == 0, "the run is over", StatusCode.InvalidArgument)
+            return
         remove(self.cfg)
-        if "://" not in self.work or self.work.startswith("file://"):
-            shutil.rmtree(strip_scheme(self.work), ignore_errors=True)
+        for name in ("kept", "checkpoint", _STATE):
+            self.folder.delete(name)
         self.written = 0
-        self.query = frames.writeStream.foreachBatch(self._keep).option("checkpointLocation", f"{self.work}/checkpoint").start()
+
+    def start(self, frames: DataFrame, resume: bool = False) -> StreamingQuery:
+        """Begin to write a stream of (frame_id, data)."""
+        require(self.query is None, "the sink is running", StatusCode.InvalidArgument)
+        self.begin(resume)
+        self.query = frames.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.work}/checkpoint").start()
         return self.query
 
-    def stop(self) -> int:
-        """Take in what has come, write the last, incomplete chunks at full size, and end; the number of frames."""
-        if self.query is None:
-            return self.written
-        self.query.processAllAvailable()
-        self.query.stop()
-        self.query = None
-        held = self._kept().where(F.col("frame_id") >= self.written)
+    def finish(self) -> int:
+        """Write the last, incomplete chunks at full size; the number of frames."""
+        held = self._held()
         n, low, high = held.agg(F.count("*"), F.min("frame_id"), F.max("frame_id")).first()
         if n:
             require(low == self.written and high == low + n - 1, f"frames are missing between {self.written} and {high}", StatusCode.InvalidArgument)
-            self._write(held, self.written + n)
+            self._write(held.select("frame_id", "data"), self.written + n)
         elif not self.written:
             write_metadata(self.cfg, 0)
+        self.folder.delete("kept")
         return self.written
 
+    def stop(self) -> int:
+        """Take in what has come, write the rest, and end; the number of frames."""
+        if self.query is None:
+            return self.written
+        self.query.processAllAvailable()
+        self.query.stop()
+        self.query = None
+        return self.finish()
+
 
 def rollover_counts(stream: DataFrame, chunk_frames: int, id_col: str = "event_id") -> DataFrame:
     """Frames in each append-chunk, for a batch or a stream: a tumbling window over counts."""

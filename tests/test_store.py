@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from gridloom.functions import codec
 from gridloom.functions.uri import normal_uri, s3_parts, split_uri, strip_scheme
@@ -17,6 +18,7 @@ from gridloom.plans import lifecycle
 from gridloom.plans.model import StatusCode, StoreConfig, StoreError, check_json, dimensions, dtype_of, get_log_level, set_log_level, status_message
 from gridloom.sources import store
 from gridloom.streaming.sink import StreamSink
+from tests.fake_s3 import FakeS3
 
 
 def test_crc32c():
@@ -103,7 +105,15 @@ def test_subset_reads_fewer_objects(spark, tmp_path):
     store.write(fr.simulated(spark, "random", 32, 7, 5), cfg)
     part = store.read(spark, cfg).where("t >= 9 and t < 12 and y = 4")
     assert part.count() == 3 * 7
-    assert part.rdd.getNumPartitions() == 2  # of 4 x 2 x 2 shards
+    options = {"path": cfg.uri, "partition_bytes": "1"}
+    reader = store.StoreReader(options)
+    assert len(reader.partitions()) == 4 * 2 * 2
+    assert list(reader.pushFilters([GreaterThanOrEqual(("t",), 9), LessThan(("t",), 12), EqualTo(("y",), 4)]))
+    keys = [k for p in reader.partitions() for k in p.keys()]
+    assert len(keys) == 2 and all(k[0] == 1 and k[2] == 1 for k in keys)
+    # many small objects are one partition
+    assert store.read(spark, cfg).rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, spark.read.format("gridloom").options(**options).load().collect())) == sorted(map(tuple, store.read(spark, cfg).collect()))
 
 
 def test_wrong_frames_raise(spark, tmp_path):
@@ -134,10 +144,184 @@ def test_stream_equals_batch(spark, tmp_path, version):
     assert sink.stop() == 21
     other = StoreConfig(str(tmp_path / "batch"), cfg.dims, version, multiscale=cfg.multiscale)
     store.write(spark.createDataFrame(made, "frame_id long, data binary"), other)
-    files = lambda top: {str(p.relative_to(top)): p.read_bytes() for p in top.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
     assert files(tmp_path / "store") == files(tmp_path / "batch")
 
 
+def files(top):
+    return {str(p.relative_to(top)): p.read_bytes() for p in top.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+@pytest.mark.parametrize("version,codec_name,multiscale", [(2, None, True), (3, "zstd", False), (3, None, True)])
+def test_frames_by_format(spark, tmp_path, version, codec_name, multiscale):
+    """The format's writer, where frames are, makes the same bytes as the writer by object; a second write goes on behind it."""
+    cfg = config(tmp_path, version=version, codec=codec_name, multiscale=multiscale)
+    made = fr.simulated(spark, "random", 43, 7, 5, seed=3).repartition(5)
+    store.write(made, cfg)
+    want = files(tmp_path / "store")
+    other = StoreConfig(str(tmp_path / "other"), cfg.dims, version, codec_name, multiscale=multiscale)
+    save = lambda df, mode: store.clustered(df, other).write.format("gridloom").options(**store.options_of(other)).mode(mode).save()
+    save(made, "overwrite")
+    assert files(tmp_path / "other") == want
+    unit = reshape.unit_frames(cfg)
+    assert 0 < unit < 43
+    save(made.where(F.col("frame_id") < unit), "overwrite")
+    save(made.where(F.col("frame_id") >= unit), "append")
+    assert files(tmp_path / "other") == want
+    before = files(tmp_path / "other")
+    with pytest.raises(Exception, match="within an append unit"):
+        save(made, "append")
+    assert files(tmp_path / "other") == before
+    with pytest.raises(Exception, match="cluster frames|came after"):
+        made.coalesce(1).sortWithinPartitions(F.desc("frame_id")).write.format("gridloom").options(**store.options_of(other)).mode("overwrite").save()
+    assert not [n for n in files(tmp_path / "other") if n[0].isdigit()]  # what finished tasks wrote is taken back
+
+
+def test_stream_by_format(spark, tmp_path):
+    """Micro-batches of whole append units."""
+    cfg = config(tmp_path)
+    made = fr.simulated(spark, "random", 11, 7, 5, seed=3).collect()
+    source = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame([r for r in made if r.frame_id // 4 == k], "frame_id long, data binary").coalesce(1).write.mode("append").parquet(str(source))
+    store.register(spark)
+    stream = spark.readStream.schema("frame_id long, data binary").parquet(str(source)).repartition(1)
+    query = stream.writeStream.format("gridloom").options(**store.options_of(cfg)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    other = StoreConfig(str(tmp_path / "other"), cfg.dims)
+    store.write(spark.createDataFrame(made, "frame_id long, data binary"), other)
+    assert files(tmp_path / "store") == files(tmp_path / "other")
+
+
+def test_object_counts():
+    for dims, version in (((("t", "time", 0, 4, 2), ("c", "channel", 3, 2, 1), ("z", "space", 5, 2, 2), ("y", "space", 5, 4, 1), ("x", "space", 7, 3, 2)), 3), ((("t", "time", 0, 2), ("c", "channel", 3, 1), ("y", "space", 5, 4), ("x", "space", 7, 3)), 2)):
+        cfg = StoreConfig("/tmp/x", dimensions(*dims), version)
+        for n in (0, 1, 2, 14, 15, 16, 60, 61, 200):
+            made = []
+            run = reshape.Assembler(cfg, lambda key, data, made=made: made.append(key))
+            for i in range(n):
+                run.feed(i, bytes(35))
+            run.finish()
+            assert len(made) == len(set(made)) == reshape.object_count(cfg, run.levels[0], n)
+
+
+def test_missing_objects_raise(spark, tmp_path):
+    store.register(spark)
+    rows = spark.createDataFrame([("0/a", b"1"), ("0/b", b"2")], "key string, payload binary").repartition(2)
+    out = rows.write.format("gridloom_objects").option("path", str(tmp_path / "store")).option("expected_objects", 3).mode("append")
+    with pytest.raises(Exception, match="2 objects written of 3"):
+        out.save()
+    assert not files(tmp_path / "store")
+
+
+def test_only_stores_are_removed(spark, tmp_path):
+    cfg = config(tmp_path)
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "notes.txt").write_text("mine")
+    with pytest.raises(StoreError, match="isn't a store"):
+        store.write(fr.simulated(spark, "empty", 1, 7, 5), cfg)
+    assert (tmp_path / "store" / "notes.txt").exists()
+
+
+def test_targets(tmp_path):
+    os.chmod(tmp_path, 0o555)
+    try:
+        with pytest.raises(StoreError, match="can't be written to"):
+            store.check_target(config(tmp_path))
+    finally:
+        os.chmod(tmp_path, 0o755)
+    store.check_target(config(tmp_path))
+    (tmp_path / "file").write_text("x")
+    for parent in (tmp_path / "absent", tmp_path / "file"):
+        with pytest.raises(StoreError, match="isn't a folder"):
+            store.check_target(config(parent))
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_web_store(spark, tmp_path, version):
+    """Against a service in this process: write, list, read, replace, stream."""
+    with FakeS3() as service:
+        local = config(tmp_path, version=version)
+        cfg = StoreConfig(f"{service.url}/frames/run/store", local.dims, version, access_key="a", secret_key="b")
+        made = fr.simulated(spark, "random", 10, 7, 5, seed=4)
+        store.write(made, cfg)
+        store.write(made, local)
+        here = files(tmp_path / "store")
+        assert {k[len("run/store/") :]: v for (_, k), v in service.objects.items() if v} == here
+        assert store.object_names(cfg) == sorted((k, len(v)) for k, v in here.items())
+        assert sorted(map(tuple, store.read(spark, cfg).collect())) == sorted(map(tuple, store.read(spark, local).collect()))
+        store.write(made.where("frame_id < 3"), cfg)
+        assert len(store.object_names(cfg)) < len(here) and store.stored_frames(cfg) == 3
+        store.clustered(made, cfg).write.format("gridloom").options(**store.options_of(cfg)).mode("overwrite").save()
+        assert {k[len("run/store/") :]: v for (_, k), v in service.objects.items() if v} == here
+
+
+def test_stream_goes_on_after_a_lost_driver(spark, tmp_path):
+    cfg = config(tmp_path, version=3)
+    made = fr.simulated(spark, "random", 30, 7, 5, seed=2).collect()
+    source, work = tmp_path / "in", tmp_path / "work"
+    put = lambda a, b: spark.createDataFrame([r for r in made if a <= r.frame_id < b], "frame_id long, data binary").coalesce(1).write.mode("append").parquet(str(source))
+    stream = lambda: spark.readStream.schema("frame_id long, data binary").option("maxFilesPerTrigger", 1).parquet(str(source))
+    (work / "mine").mkdir(parents=True)
+    put(0, 13)
+    first = StreamSink(spark, cfg, f"file://{work}")
+    first.start(stream())
+    first.query.processAllAvailable()
+    first.query.stop()  # and nothing else of it is known any more
+    assert first.written == 8 and json.loads((tmp_path / "store/0/zarr.json").read_text())["shape"][0] == 8
+    assert [p.name for p in (work / "kept").rglob("unit=*")] == ["unit=1"]  # written frames are gone
+    for k in range(13, 30, 6):
+        put(k, min(k + 6, 30))
+    second = StreamSink(spark, cfg, f"file://{work}")
+    second.start(stream(), resume=True)
+    assert second.stop() == 30
+    other = StoreConfig(str(tmp_path / "other"), cfg.dims, 3)
+    store.write(spark.createDataFrame(made, "frame_id long, data binary"), other)
+    assert files(tmp_path / "store") == files(tmp_path / "other")
+    assert not list((work / "kept").rglob("unit=*")) and (work / "mine").exists()
+    # a new run starts anew
+    third = StreamSink(spark, cfg, f"file://{work}")
+    third.start(stream())
+    assert third.stop() == 30 and files(tmp_path / "store") == files(tmp_path / "other")
+
+
+def test_bytes_in_pieces(spark, tmp_path):
+    made = fr.simulated(spark, "random", 6, 7, 5, seed=5).orderBy("frame_id").collect()
+    raw = b"".join(r.data for r in made) + b"1234567"
+    sink = lifecycle.open_sink(spark, 0)
+    sink.configure(config(tmp_path))
+    sink.reserve_image_shape(7, 5, "u8")
+    sink.start()
+    assert [sink.append_bytes(raw[a:b]) for a, b in ((0, 10), (10, 80), (80, 80), (80, 200), (200, 210), (210, 217))] == [10, 70, 0, 120, 10, 7]
+    sink.stop()  # 7 bytes of a seventh frame are dropped
+    got = read_array(spark, sink.config)[:, 0]
+    assert (got == np.stack([np.frombuffer(r.data, np.uint8).reshape(5, 7) for r in made])).all()
+
+
+def test_devices_never_raise(spark, tmp_path):
+    set_log_level("debug")
+    device = lifecycle.Device(lifecycle.open_sink(spark, 0))
+    assert get_log_level() == "error"
+    waiting, armed, running = lifecycle.State.AWAITING, lifecycle.State.ARMED, lifecycle.State.RUNNING
+    assert device.start() is waiting
+    assert device.configure(config(tmp_path / "absent")) is waiting
+    assert device.configure(config(tmp_path)) is armed
+    assert device.reserve_image_shape(8, 5, "u8") is waiting  # a failing call leaves it waiting
+    assert device.configure(config(tmp_path)) is armed and device.reserve_image_shape(7, 5, "u8") is armed and device.start() is running
+    assert device.append(fr.simulated(spark, "empty", 3, 6, 5)) == 0 and device.state is waiting
+    assert device.configure(config(tmp_path)) is armed and device.start() is running
+    assert device.append(fr.simulated(spark, "empty", 3, 7, 5)) == 3 and device.stop() is armed
+    assert device.destroy() is lifecycle.State.CLOSED and device.configure(config(tmp_path)) is lifecycle.State.CLOSED
+
+
+def test_shutdown(spark):
+    lifecycle.shutdown()
+    assert lifecycle.init(spark) == 6
+    sinks = [lifecycle.open_sink(spark, i) for i in (0, 3)]
+    lifecycle.close_sink(sinks[0])
+    lifecycle.close_sink(sinks[0])
+    assert lifecycle.shutdown() == 1 and all(s.state is lifecycle.State.CLOSED for s in sinks)
+
+
 # --- settings and life ------------------------------------------------------------------------------
 
 
