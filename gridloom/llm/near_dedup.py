@@ -8,8 +8,9 @@ value below the next level. Bands of slots propose buckets; links are confirmed
 Copies of a set are one class from the start. In a bucket no pairs are listed: each member is held
 against two hubs (the most central member and the smallest id). Clusters of buckets that this leaves
 in several parts go through an exact join: of shingles ordered from rare to common, similar sets
-share one among the first, so only members that do are compared, in blocks by size, and only across
-parts. What a crowd has in common (a boilerplate text) stands last and brings nobody together.
+share one among the first. Members of different parts that do form crowds; of a crowd the members outside its
+largest part are compared with everyone, in blocks. What loosely alike texts have in common (a
+boilerplate) stands last in the order and brings nobody together.
 
 Documents without words (null, empty or blank texts) have no shingles and link with nothing. Rows
 with equal ids are one document of that id only in the class they share; ids are meant to be unique there.
@@ -151,7 +152,7 @@ def _block_links(num: int, den: int):
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node, part = (table.column(c).to_numpy() for c in ("node", "part"))
+        node, part, outside = (table.column(c).to_numpy() for c in ("node", "part", "outside"))
         sets = table.column("s").combine_chunks()
         flat, at = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
         n, size = len(node), np.diff(at)
@@ -168,7 +169,7 @@ def _block_links(num: int, den: int):
             both += dense @ dense.T
         inter = np.rint(both).astype(np.int64)
         union = size[:, None] + size[None, :] - inter
-        ok = (inter * den >= num * union) & (part[:, None] != part[None, :])
+        ok = (inter * den >= num * union) & (part[:, None] != part[None, :]) & outside[:, None].astype(bool)
         x, y = np.nonzero(ok)
         root: dict[int, int] = {}
 
@@ -190,7 +191,7 @@ def _block_links(num: int, den: int):
 
 
 def _prefix_keys(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node, part, n): the rarest shingles of each set, of which similar sets share one. ``members``: node, part, s."""
+    """(key, node, part): the rarest shingles of each set, of which similar sets share one. ``members``: node, part, s."""
     mask = (1 << ORDER_BITS) - 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,19 +206,18 @@ def _prefix_keys(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, sizes = [], []
+            lists = []
             for one in batch.column(2):
                 x = one.values.to_numpy()
                 # similar sets have ceil(t n) in common, so one of the first n - ceil(t n) + 1
                 take = len(x) - -(-num * len(x) // den) + 1
                 lists.append(x[np.lexsort((x, shared.value[x & mask]))[:take]])
-                sizes.append(len(x))
             width = [len(x) for x in lists]
             pick = np.repeat(np.arange(len(lists)), width)
             node, part = (batch.column(i).take(pa.array(pick)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)), node, part, pa.array(np.array(sizes, np.int64)[pick])], ["key", "node", "part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)), node, part], ["key", "node", "part"])
 
-    return members.select("node", "part", "s").mapInArrow(first, "key long, node long, part long, n long")
+    return members.select("node", "part", "s").mapInArrow(first, "key long, node long, part long")
 
 
 def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -253,22 +253,22 @@ def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = B
     members = salted_join(placed, undecided.select("cluster"), "cluster", "node", undecided, placed.count()).select("node", "part")
     members = scratch(members.join(sets, "node"), "near-members")
     keys = scratch(_prefix_keys(members, num, den), "near-keys")
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    groups = scratch(groups.select("key", "n"), "near-groups")
-    dealt = salted_join(keys, groups.withColumnRenamed("n", "n_key"), "key", "node", groups, keys.count())
-    # sets of similar sizes are in one range of sizes or in neighbours; within two ranges, blocks of members
-    ratio = 1.001 * float(np.log(den / num)) if num < den else 1.0
-    dealt = dealt.withColumn("range", F.floor(F.log("n") / ratio).cast("int"))
-    blocks = F.ceil(F.col("n_key") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = dealt.select("key", "node", "part", F.explode(F.array(F.col("range"), F.col("range") - 1)).alias("r"), own.alias("own"), blocks.alias("blocks"))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    spread = spread.select("key", "node", "part", "r", F.explode(every).alias("b")).select("key", "r", "b.i", "b.j", "node", "part")
-    # the same members may meet under many keys: once is enough
-    together = spread.groupBy("key", "r", "i", "j").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("x2"), F.min("part").alias("low"), F.max("part").alias("high"))
-    once = together.where("low < high").groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "r", "i", "j")).alias("g")).select("g.*")
-    met = scratch(spread.join(once, ["key", "r", "i", "j"]), "near-met")
-    found = met.join(sets, "node").groupBy("key", "r", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("first")).where("low < high")
+    groups = scratch(groups.select("key", "n", "first"), "near-groups")
+    near = salted_join(keys, groups.select("key", "first"), "key", "node", groups.select("key", "n"), keys.count()).select("node", "first").where("node <> first")
+    # what shares rare shingles across parts is a crowd; its members outside the largest part are compared with everyone, in blocks
+    crowds = scratch(components(near).toDF("node", "crowd").join(members.select("node", "part"), "node"), "near-crowds")
+    by_part = crowds.groupBy("crowd", "part").agg(F.count("*").alias("n"))
+    main = by_part.groupBy("crowd").agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"))
+    main = scratch(main.select("crowd", "n", F.col("n").alias("size"), F.col("largest.part").alias("main"), (F.col("n") - F.col("largest.n")).alias("n_out")), "near-main")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    joined = salted_join(crowds, main.drop("n"), "crowd", "node", main.select("crowd", "n"), crowds.count())
+    joined = joined.withColumn("outside", F.col("part") != F.col("main")).withColumn("h", F.xxhash64("node"))
+    out_block, any_block = F.pmod("h", blocks("n_out")).cast("int"), F.pmod("h", blocks("size")).cast("int")
+    as_out = joined.where("outside").select("crowd", "node", "part", F.lit(1).alias("outside"), out_block.alias("i"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"))
+    as_any = joined.select("crowd", "node", "part", F.lit(0).alias("outside"), F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), any_block.alias("j"))
+    met = as_out.union(as_any).groupBy("crowd", "i", "j", "node").agg(F.first("part").alias("part"), F.max("outside").alias("outside"))
+    found = met.join(sets, "node").groupBy("crowd", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
     found = scratch(found, "near-found")
     final = components(links.union(found)).toDF("node", "component")
     rooted = classes.join(final, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
