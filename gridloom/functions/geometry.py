@@ -15,8 +15,9 @@ def div(a: Column, n: int) -> Column:
     return F.call_function("div", a.cast("long"), F.lit(n).cast("long")) if n != 1 else a.cast("long")
 
 
-def align_up(n: int, step: int) -> int:
-    return -(-n // step) * step
+def align_up(n, step: int):
+    """The least multiple of ``step`` that isn't below ``n``, a number or a column."""
+    return div(n + (step - 1), step) * step if isinstance(n, Column) else -(-n // step) * step
 
 
 def unravel(frame_id: Column, interior: tuple[int, ...]) -> list[Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import div
-from gridloom.plans.model import DTYPES, SPARK_TYPES, dtype_of
+from gridloom.plans.model import DTYPES, SPARK_TYPES, StoreConfig, dtype_of
 
 # fixed values: bounds of the sample types and stored dtypes
 BOUNDS = {
@@ -57,6 +57,11 @@ def pixels_to_frames(pixels: DataFrame) -> DataFrame:
     return packed.select(F.col("t").alias("frame_id"), F.transform("all", lambda p: p["value"]).alias("data"))
 
 
+def whole_frames(frames: DataFrame, cfg: StoreConfig) -> DataFrame:
+    """The frames with ``whole``: whether their bytes are just as many as the settings say."""
+    return frames.withColumn("whole", F.coalesce(F.octet_length("data") == cfg.frame_bytes, F.lit(False)))
+
+
 def coerce(value: Column, sample_type: str) -> Column:
     """The value in the stored dtype's Spark type; null where it is out of the dtype's range. Unknown sample types raise."""
     dtype = dtype_of(sample_type)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.uri import normal_uri
-from gridloom.plans.model import StatusCode, StoreConfig, dtype_of, item_size, log, require, set_log_level
+from gridloom.operators.frames import whole_frames
+from gridloom.plans.model import StatusCode, StoreConfig, dtype_of, log, require, set_log_level
 from gridloom.sources import store
 from gridloom.sources.shared import Folder, shared_folder
 
@@ -109,21 +110,17 @@ class Sink:
         self._n, self._parts, self._rest, self.state = 0, 0, b"", State.RUNNING
         return self.state
 
-    @property
-    def frame_bytes(self) -> int:
-        return self.config.width * self.config.height * item_size(self.config.dtype)
-
     def append(self, frames: DataFrame) -> int:
         """Take frames (frame_id, data), numbered on from those before; how many came."""
         require(self.state is State.RUNNING, f"can't append while {self.state.value}", StatusCode.InvalidArgument)
         path = f"{self._folder.path}/{self._parts}"
         frames.select(F.col("frame_id").cast("long"), F.col("data").cast("binary")).write.mode("overwrite").parquet(path)
-        kept = self.spark.read.schema(_FRAMES).parquet(path)
-        n, low, high, wrong = kept.agg(F.count("*"), F.min("frame_id"), F.max("frame_id"), F.count(F.when(F.octet_length("data") != self.frame_bytes, 1))).first()
+        kept = whole_frames(self.spark.read.schema(_FRAMES).parquet(path), self.config)
+        n, low, high, wrong = kept.agg(F.count("*"), F.min("frame_id"), F.max("frame_id"), F.count(F.when(~F.col("whole"), 1))).first()
         if not n:
             return 0
         require(low == self._n and high == low + n - 1, f"expected frames from {self._n}, got {low} to {high} in {n} rows", StatusCode.InvalidArgument)
-        require(not wrong, f"{wrong} frames don't have {self.frame_bytes} bytes", StatusCode.IOError)
+        require(not wrong, f"{wrong} frames don't have {self.config.frame_bytes} bytes", StatusCode.IOError)
         self._n += n
         self._parts += 1
         return n
@@ -135,7 +132,7 @@ class Sink:
         """
         require(self.state is State.RUNNING, f"can't append while {self.state.value}", StatusCode.InvalidArgument)
         whole = self._rest + data
-        n, size = len(whole) // self.frame_bytes, self.frame_bytes
+        n, size = len(whole) // self.config.frame_bytes, self.config.frame_bytes
         if n:
             rows = [(self._n + i, whole[i * size : (i + 1) * size]) for i in range(n)]
             self.append(self.spark.createDataFrame(rows, _FRAMES))

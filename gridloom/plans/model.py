@@ -168,6 +168,10 @@ class StoreConfig:
     def width(self) -> int:
         return self.dims[-1].array_size
 
+    @property
+    def frame_bytes(self) -> int:
+        return self.width * self.height * item_size(self.dtype)
+
     @property
     def interior(self) -> tuple[int, ...]:
         """Array sizes between the append dimension and the frame."""
