@@ -81,8 +81,19 @@ def piece_starts(cps: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _is_plain(file: dict) -> bool:
+    """Whether a tokenizer's file says just what the passes here do: byte-level pieces, and merges within them."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    other = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return model.get("type", "BPE") == "BPE" and byte_level and not file.get("normalizer") and not any(model.get(k) for k in other)
+
+
 class PieceTokenizer:
-    """``encode`` gives uint32 ids and offsets by text, equal to ``tokenizers`` with add_special_tokens=False."""
+    """``encode`` gives uint32 ids and offsets by text, equal to ``tokenizers`` with add_special_tokens=False.
+
+    A file that asks for anything but plain byte-level BPE is left to the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,6 +103,9 @@ class PieceTokenizer:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = [t["content"].encode() for t in model.get("added_tokens", [])]
+        self.plain = _is_plain(model)
+        if not self.plain:
+            return
         back = {v: k for k, v in _byte_alphabet().items()}
         special_ids = {t["id"] for t in model.get("added_tokens", [])}
         ranks = {bytes(back[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if i not in special_ids}
@@ -104,9 +118,9 @@ class PieceTokenizer:
         self.used = 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        core = self.merger._core_bpe.encode_single_piece
+        core = self.merger.encode_ordinary  # the pattern takes a piece as a whole
         for h, piece in zip(hashes.tolist(), pieces, strict=True):
-            got = core(piece)
+            got = core(piece.decode())
             k = len(self.known)
             if k + 2 > len(self.begin):
                 self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
@@ -153,7 +167,11 @@ class PieceTokenizer:
         total = 0
         for _, _, buf, offsets in string_chunks(column):
             raw = buf.tobytes()
-            if any(s in raw for s in self.special):
+            if not self.plain:
+                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                got, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            elif any(s in raw for s in self.special):
                 parts = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     if any(s in raw[a:b] for s in self.special):

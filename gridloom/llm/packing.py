@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import default_path, tokenizer
 
-#: Text bytes of one group on average: what a task holds at once.
-GROUP_BYTES = 8 << 20
+#: Text bytes of one group on average: what a task holds at once. A task takes about TASK_GROUPS of them, one after the other.
+GROUP_BYTES, TASK_GROUPS = 8 << 20, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
@@ -83,7 +83,9 @@ def pack(df: DataFrame, seq_len: int = 2048, end_id: int = 1, path: str | None =
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))
-    dealt = docs.withColumn("__group", F.pmod(F.xxhash64("doc_id", F.lit(seed), "text"), F.lit(groups)))
+    # rows that are equal in all go to different groups, too
+    drawn = F.xxhash64("doc_id", F.lit(seed), "text", F.monotonically_increasing_id())
+    dealt = docs.withColumn("__group", F.pmod(drawn, F.lit(groups))).repartition(-(-groups // TASK_GROUPS), "__group")
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending")])

@@ -149,16 +149,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), N_FEATURES).astype(np.float64)
 
 
-def fit(train: DataFrame, n_random: int = 256, ridge: float = 1.0, bandwidth: float = 5.0, max_train: int = MAX_TRAIN, seed: int = 5) -> Model:
-    """Model from rows doc_id, f, y (0 to 1)."""
+def fit(train: DataFrame, n_random: int = 256, ridge: float = 1.0, bandwidth: float = 5.0, seed: int = 5) -> Model:
+    """Model from rows doc_id, f, y (0 to 1), a written table: it is read several times."""
     rng = np.random.default_rng(seed)
     w, b = rng.normal(size=(N_FEATURES, n_random)) / bandwidth, rng.uniform(0, 2 * np.pi, n_random)
     train = train.where(F.col("y").isNotNull() & F.col("f").isNotNull())
-    n = train.count()
-    if n > max_train:
-        train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * max_train / n))
     moments = train.agg(*[g(F.col("f")[i].cast("double")) for i in range(N_FEATURES) for g in (F.avg, F.stddev_pop)]).first()
-    if not n or moments[0] is None:
+    if moments[0] is None:
         zero = np.zeros(0)
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), w, b, zero, zero, zero)
     mean, scale = np.array(moments[0::2]), np.array(moments[1::2])
@@ -201,16 +198,21 @@ def fit(train: DataFrame, n_random: int = 256, ridge: float = 1.0, bandwidth: fl
     return model
 
 
-def training_rows(feats: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Features joined with the mean label of their id."""
-    y = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    return feats.select("doc_id", "f").join(y, "doc_id")
+def training_labels(labels: DataFrame, label: str, folds: int, max_train: int, seed: int = 5) -> DataFrame:
+    """id and y, the mean label, of the ids to learn from: at most about ``max_train``, so they can go to all executors."""
+    doc_id = F.col("doc_id").cast("long")
+    y = labels.where(F.col(label).isNotNull() & doc_id.isNotNull() & (crc_mod("doc_id", folds) != 0)).groupBy(doc_id.alias("id")).agg(F.avg(F.col(label).cast("double")).alias("y"))
+    y = scratch(y, "quality-labels")
+    if (n := y.count()) > max_train:
+        y = y.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * max_train / n))
+    return F.broadcast(y)
 
 
-def score_documents(df: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, folds: int = 5, **fit_options) -> DataFrame:
+def score_documents(df: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, folds: int = 5, max_train: int = MAX_TRAIN, **fit_options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels are learnt from ids whose crc32 mod ``folds`` isn't 0."""
     feats = scratch(features(df, (crc_mod("doc_id", folds) == 0).alias("held_out")), "quality")
-    model = fit(training_rows(feats.where(~F.col("held_out")), labels, label), **fit_options)
+    chosen = training_labels(labels, label, folds, max_train)
+    model = fit(scratch(feats.join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "f", "y"), "quality-train"), **fit_options)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +222,14 @@ def score_documents(df: DataFrame, labels: DataFrame, label: str = "quality", th
     return feats.select("doc_id", "held_out", "f").mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(df: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, folds: int = 5, **fit_options) -> DataFrame:
-    """The rows of ``df`` that the classifier accepts, whole and in their schema; no row is shuffled."""
-    model = fit(training_rows(features(df.where(crc_mod("doc_id", folds) != 0)), labels, label), **fit_options)
+def keep_good(df: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, folds: int = 5, max_train: int = MAX_TRAIN, **fit_options) -> DataFrame:
+    """The rows of ``df`` that the classifier accepts, whole and in their schema; no row is shuffled.
+
+    Statistics of the training texts are worked out and written once, those of all texts where they are judged.
+    """
+    chosen = training_labels(labels, label, folds, max_train)
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("id"))
+    model = fit(scratch(features(texts, F.col("y")), "quality-train"), **fit_options)
     where = df.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import string_chunks
+from gridloom.llm.common import code_points, string_chunks
 
 
 @dataclass(frozen=True)
@@ -335,9 +335,9 @@ def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             found = []
             for data in _texts(batch.column(1)):
                 spans = scan.find(data)
-                ascii_only = not spans or data.isascii()
-                at = (lambda i: i) if ascii_only else (lambda i, d=data: len(d[:i].decode("utf-8")))
-                found.append([{"kind": rules[r].kind, "start": at(s), "end": at(e)} for s, e, r in spans])
+                ends = np.array([span[:2] for span in spans], np.int64).reshape(-1, 2)
+                points = ends if not spans or data.isascii() else code_points(np.frombuffer(data, np.uint8), ends)
+                found.append([{"kind": rules[r].kind, "start": s, "end": e} for (s, e), (_, _, r) in zip(points.tolist(), spans, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind))], ["doc_id", "found"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, found array<struct<kind:string,start:long,end:long>>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, common, knn_join, near_dedup, packing, queries, suffix_dedup, token_counts
+from gridloom.llm import bpe, common, decontam, knn_join, near_dedup, packing, quality, queries, secrets, suffix_dedup, token_counts
 from gridloom.llm.components import components
 from tests.llm.conftest import words
 from tests.oracle import connect, same
@@ -419,13 +420,63 @@ def test_rows_equal_sql(spark, sf_dir, name):
 
 
 def test_pipeline(spark, sf_dir):
+    """Every stage against a brute-force version of it on what the stage before kept; the classifier has its own."""
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        made = stage(spark, docs, sf_dir)
+    bench = [r for r in queries.table(spark, sf_dir, "benchmark").collect() if r.text]
+    stages = dict(corpus_pipeline.STAGES)
+
+    def stage(name, given):
+        made = stages[name](spark, given, sf_dir)
         assert [(f.name, f.dataType) for f in made.schema] == [(f.name, f.dataType) for f in docs.schema], name
-        before, made = docs, spark.createDataFrame(made.collect(), made.schema)
-        assert 0 < made.count() <= before.count()
-        docs = made
-    want = {r.doc_id for r in docs.collect()}
-    got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in got} == want
+        return {r.doc_id: r for r in made.collect()}
+
+    frame = lambda rows: spark.createDataFrame(list(rows.values()), docs.schema)
+    before = {r.doc_id: r for r in docs.collect()}
+    good = stage("quality", docs)
+    score = {r.doc_id: r.predicted for r in quality.score_documents(docs, queries.table(spark, sf_dir, "labels")).collect()}
+    assert good == {i: r for i, r in before.items() if score[i]}
+    groups, _ = plain_groups({i: r.text for i, r in good.items()}, 5, 80, 100)
+    first = stage("near_dedup", frame(good))
+    assert first == {i: good[i] for i in set(groups.values())}
+    word_list = lambda t: hash_words(re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    items = [w for w in (word_list(b.text) for b in bench) if len(w)]
+    holds = lambda w: any(decontam.align(x, w)[0] <= int(0.2 * len(x) + 1e-9) for x in items)
+    clean = stage("decontaminate", frame(first))
+    assert clean == {i: r for i, r in first.items() if not holds(word_list(r.text))} and len(clean) < len(first)
+    left = stage("secrets", frame(clean))
+    spans = {r.doc_id: r.found for r in secrets.find_secrets(frame(clean)).collect()}
+
+    def without(text, found):
+        covered = [False] * len(text)
+        for x in found:
+            covered[x.start : x.end] = [True] * (x.end - x.start)
+        marks = [c for c, hid in zip(text, covered, strict=True) if not hid]
+        return "".join(marks), any(covered)
+
+    for i, r in left.items():
+        want, some = without(clean[i].text or "", spans[i])
+        assert (r.text or "").replace("[SECRET]", "") == want.replace("[SECRET]", "") and ("[SECRET]" in (r.text or "")) >= some
+    assert set(left) == set(clean)
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == set(left)
+    made = bpe.tokenizer(bpe.default_path()).tokenizer
+    for i, pieces in got.items():
+        ids = np.array([*made.encode(left[i].text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def hash_words(found: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in found], np.uint64)
+
+
+def test_pipeline_without_documents(spark, tmp_path, sf_dir):
+    for name in ("labels", "benchmark"):
+        queries.table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    queries.table(spark, sf_dir, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

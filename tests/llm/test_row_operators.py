@@ -133,6 +133,14 @@ def test_scanner_additions_and_redaction(spark, odd_docs):
     assert secrets.redact_secrets(odd_docs).schema == odd_docs.schema
 
 
+def test_secrets_in_no_rows_and_long_texts(spark, no_docs, repeated_docs):
+    assert secrets.redact_secrets(no_docs).schema == no_docs.schema and secrets.redact_secrets(no_docs).count() == 0
+    assert secrets.redact_secrets(repeated_docs).count() == 8
+    text = "é 0123456789abcdef0123 " * 5000
+    (row,) = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(x.start, x.end) for x in row.found] == [(23 * i + 2, 23 * i + 22) for i in range(5000)]
+
+
 def test_private_keys_go_with_their_bodies(spark):
     head, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEpAIBAAKCAQEA+/" * 3
     texts = [
@@ -186,6 +194,53 @@ def test_quality_learns(spark, no_docs, odd_docs, odd_texts):
     assert quality.score_documents(odd_docs, truth).count() == len(odd_texts)
 
 
+def test_fit_equals_direct_solution(spark, repeated_docs):
+    """The distributed fit against one matrix of all rows, and out-of-fold scores calibrated by the min-max formula."""
+    rng = np.random.default_rng(4)
+    f = rng.normal(size=(240, quality.N_FEATURES)).astype(np.float32)
+    y = (f[:, 0] + 0.5 * rng.normal(size=240) > 0).astype(float)
+    rows = spark.createDataFrame([(i, f[i].tolist(), float(y[i])) for i in range(240)], "doc_id long, f array<float>, y double").repartition(5)
+    model = quality.fit(rows, n_random=20)
+    fold = np.array([r.k for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(quality.FOLDS)).alias("k")).orderBy("doc_id").collect()])
+    x = f.astype(np.float64)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0))
+    z = model.expand(x)
+    ridge = np.diag(np.append(np.ones(z.shape[1] - 1), 1e-6))
+    solve = lambda on: np.linalg.solve(z[on].T @ z[on] + ridge, z[on].T @ y[on])
+    assert np.allclose(model.beta, solve(np.ones(240, bool)), atol=1e-8)
+    raw = np.array([z[i] @ solve(fold != fold[i]) for i in range(240)])
+    at = np.clip((raw - quality._LOW) / (quality._HIGH - quality._LOW) * quality.CALIBRATION_BINS, 0, quality.CALIBRATION_BINS - 1).astype(int)
+    bins = np.unique(at)
+    n, good = np.array([(at == b).sum() for b in bins]), np.array([y[at == b].sum() for b in bins])
+    centre = quality._LOW + (bins + 0.5) * (quality._HIGH - quality._LOW) / quality.CALIBRATION_BINS
+    fit = [max(min(good[j : k + 1].sum() / n[j : k + 1].sum() for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    assert np.allclose(model.calibrated(centre), fit)
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.score_documents(docs, labels).where("held_out").join(labels, "doc_id").where("quality is not null")
+    right = held.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count("*")).first()
+    assert right[1] > 50 and right[0] > 0.93
+
+
+def test_quality_of_repeated_and_no_rows(spark, no_docs, repeated_docs):
+    labels = spark.createDataFrame([(5, 1), (9, 0), (9, 1), (1, 0)], "doc_id long, quality int")
+    rows = quality.score_documents(repeated_docs, labels).collect()
+    assert len(rows) == 8 and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 5}) == 1
+    assert quality.keep_good(repeated_docs, labels, threshold=0.0).count() == 8
+    for table in (labels, labels.limit(0)):
+        kept = quality.keep_good(no_docs, table)
+        assert kept.schema == no_docs.schema and kept.count() == 0
+    # clashing names, and more labels than a fit takes
+    clash = spark.createDataFrame([(i, "some text " * (i % 7 + 1), i, i, i) for i in range(300)], "doc_id long, text string, y long, f long, id long")
+    many = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    assert quality.score_documents(clash, many, max_train=50).count() == 300
+    assert quality.keep_good(clash, many, threshold=0.0, max_train=50).count() == 300
+    assert 10 < quality.training_labels(many, "quality", 5, 50).count() < 90
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     x, y, w = np.arange(40.0), rng.random(40), rng.integers(1, 5, 40).astype(float)

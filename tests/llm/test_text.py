@@ -49,3 +49,14 @@ def test_piece_ids_equal_the_tokenizer():
     for i, e in enumerate(made.tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids
     assert at[-1] == at[-2]
+
+
+def test_other_tokenizers_are_left_alone():
+    import public_tokenizers
+
+    made = bpe.tokenizer(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["Hello  World's end", "", "é日本", None, "x" * 300]
+    ids, at = made.encode(pa.array(texts))
+    assert not made.plain and bpe.tokenizer(bpe.default_path()).plain
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == made.tokenizer.encode(t or "", add_special_tokens=False).ids
