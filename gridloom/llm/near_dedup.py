@@ -8,8 +8,8 @@ value below the next level. Bands of slots propose buckets; links are confirmed
 Copies of a set are one class from the start. In a bucket no pairs are listed: each member is held
 against two hubs (the most central member and the smallest id). Clusters of buckets that this leaves
 in several parts go through an exact join: of shingles ordered from rare to common, similar sets
-share one among the first. Members of different parts that do form crowds; of a crowd the members outside its
-largest part are compared with everyone, in blocks. What loosely alike texts have in common (a
+share one among the first. Members of a cluster in different parts that do form crowds; of a crowd the members
+outside its largest part are compared with everyone, in blocks. What loosely alike texts have in common (a
 boilerplate) stands last in the order and brings nobody together.
 
 Documents without words (null, empty or blank texts) have no shingles and link with nothing. Rows
@@ -191,7 +191,7 @@ def _block_links(num: int, den: int):
 
 
 def _prefix_keys(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node, part): the rarest shingles of each set, of which similar sets share one. ``members``: node, part, s."""
+    """(key, node, part): the rarest shingles of each set, of which similar sets of a cluster share one. ``members``: node, part, cluster, s."""
     mask = (1 << ORDER_BITS) - 1
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,17 +207,18 @@ def _prefix_keys(members: DataFrame, num: int, den: int) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
-            for one in batch.column(2):
+            for cluster, one in zip(batch.column(2).to_numpy(), batch.column(3), strict=True):
                 x = one.values.to_numpy()
                 # similar sets have ceil(t n) in common, so one of the first n - ceil(t n) + 1
                 take = len(x) - -(-num * len(x) // den) + 1
-                lists.append(x[np.lexsort((x, shared.value[x & mask]))[:take]])
+                rare = x[np.lexsort((x, shared.value[x & mask]))[:take]]
+                lists.append((mix64(rare.view(np.uint64)) ^ np.uint64(cluster.astype(np.uint64))).view(np.int64))
             width = [len(x) for x in lists]
             pick = np.repeat(np.arange(len(lists)), width)
             node, part = (batch.column(i).take(pa.array(pick)) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)), node, part], ["key", "node", "part"])
 
-    return members.select("node", "part", "s").mapInArrow(first, "key long, node long, part long")
+    return members.select("node", "part", "cluster", "s").mapInArrow(first, "key long, node long, part long")
 
 
 def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -250,7 +251,7 @@ def duplicates(df: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = B
     placed = scratch(clusters.join(parts, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("part")), "near-clusters")
     undecided = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and n > 2")
     undecided = scratch(undecided.select("cluster", "n"), "near-open")
-    members = salted_join(placed, undecided.select("cluster"), "cluster", "node", undecided, placed.count()).select("node", "part")
+    members = salted_join(placed, undecided.select("cluster"), "cluster", "node", undecided, placed.count()).select("node", "part", "cluster")
     members = scratch(members.join(sets, "node"), "near-members")
     keys = scratch(_prefix_keys(members, num, den), "near-keys")
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("first")).where("low < high")
