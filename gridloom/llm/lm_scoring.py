@@ -2,9 +2,10 @@
 
 Words of the training documents are counted over the whole corpus. The commonest form a short list,
 as long as the square root of the number of training tokens, in classes by frequency; all others
-belong to a class by their last two bytes. The network gives a softmax over classes, and within a
-short-list class a softmax over its words; within the other classes words have their corpus
-frequency, with one place for what was never seen. So every text has a probability.
+belong to a class by their last two bytes. The network says whether the next word is a listed one,
+gives a softmax over the classes of that kind, and within a short-list class a softmax over its
+words; within the other classes words have their corpus frequency, with one place for what was never
+seen. So every text has a probability.
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
 across windows and set to zero only where a document begins. Training documents are dealt by hash
@@ -85,18 +86,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def new_weights(classes: Classes, word_counts: np.ndarray, tail_counts: np.ndarray, ends: float, seed: int = 3) -> dict[str, np.ndarray]:
-    """Starting weights; the biases (last row of c, last column of w) give class and word frequencies."""
+    """Starting weights; the biases (last of g, last row of c, last column of w) give frequencies of listed words, classes and words."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
     words = np.maximum(word_counts, 1.0)
     by_class = np.add.reduceat(words, classes.cuts[:-1]) if classes.n else np.zeros(0)
-    all_classes = np.concatenate([by_class, tail_counts, [ends]]) + 1.0
+    listed, other = by_class + 1.0, np.append(tail_counts, ends) + 1.0
     made = {
         "x": rng.normal(0, 0.3, (classes.end + 1, EMBED)),
         "p": rng.normal(0, 1 / np.sqrt(EMBED), (EMBED, 3 * h)),
         "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
         "b": np.concatenate([np.ones(h), np.zeros(2 * h)]),
-        "c": np.concatenate([rng.normal(0, 0.05, (h, len(all_classes))), np.log(all_classes / all_classes.sum())[None, :]]),
+        "g": np.append(rng.normal(0, 0.05, h), np.log(max(listed.sum(), 1.0) / other.sum())),
+        "c": np.concatenate([rng.normal(0, 0.05, (h, len(listed) + len(other))), np.log(np.concatenate([listed / max(listed.sum(), 1.0), other / other.sum()]))[None, :]]),
         "w": np.concatenate([rng.normal(0, 0.05, (classes.short, h)), (np.log(words) - np.repeat(np.log(by_class), np.diff(classes.cuts)))[:, None]], axis=1),
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
@@ -126,8 +128,8 @@ def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, keep:
 
 def bounded(w: dict, classes: Classes) -> bool:
     """Whether no state, whose components lie between -1 and 1, takes a softmax out of the range of exp."""
-    reach, bias = np.abs(w["c"][:-1]).sum(axis=0).max(), w["c"][-1].max()
-    ok = reach + abs(bias) < 80
+    reach, bias = np.abs(w["c"][:-1]).sum(axis=0).max(), w["c"][-1]
+    ok = np.abs(w["g"]).sum() < 80 and all(reach + abs(part.max()) < 80 for part in (bias[: classes.n], bias[classes.n :]) if len(part))
     if classes.n:
         reach, bias = np.abs(w["w"][:, :-1]).sum(axis=1).max(), np.maximum.reduceat(w["w"][:, -1], classes.cuts[:-1])
         ok &= reach + np.abs(bias).max() < 80
@@ -145,20 +147,33 @@ def _softmax(x: np.ndarray, place: np.ndarray, safe: bool) -> tuple[np.ndarray,
 
 
 def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: np.ndarray | None = None, safe: bool = False):
-    """Natural log-probability of each token's class and short-list word. With ``word_grads``, which are added to, also gradients."""
+    """Natural log-probability of each token's kind, class and short-list word. With ``word_grads``, which are added to, also gradients."""
     cls, grad = classes.of[tokens], word_grads is not None
-    score, back = np.empty(len(tokens), states.dtype), np.empty((len(tokens) if grad else 0, HIDDEN), states.dtype)
-    dc = np.zeros_like(w["c"]) if grad else None
-    for a in range(0, len(tokens), BLOCK):
-        own, place = states[a : a + BLOCK], cls[a : a + BLOCK]
-        x = own @ w["c"]
-        score[a : a + BLOCK], total = _softmax(x, place, safe)
+    listed = tokens < classes.short
+    score, back, grads = np.zeros(len(tokens), states.dtype), None, None
+    if grad:
+        back, grads = np.zeros((len(tokens), HIDDEN), states.dtype), {"c": np.zeros_like(w["c"]), "g": np.zeros_like(w["g"])}
+    if classes.n:
+        x = states @ w["g"]
+        score -= np.logaddexp(0, np.where(listed, -x, x))
         if grad:
-            x[np.arange(len(x)), place] -= total
-            part = 1 / total[:, None]
-            np.multiply(x @ w["c"][:-1].T, part, out=back[a : a + BLOCK])
-            dc += (own * part).T @ x
-    short = np.flatnonzero(tokens < classes.short)
+            d = _sigmoid(x) - listed
+            back += d[:, None] * w["g"][:-1]
+            grads["g"] = states.T @ d
+    for kind, columns in ((np.flatnonzero(listed), slice(0, classes.n)), (np.flatnonzero(~listed), slice(classes.n, None))):
+        weights = w["c"][:, columns]
+        for a in range(0, len(kind), BLOCK):
+            pick = kind[a : a + BLOCK]
+            own, place = states[pick], cls[pick] - columns.start
+            x = own @ weights
+            found, total = _softmax(x, place, safe)
+            score[pick] += found
+            if grad:
+                x[np.arange(len(x)), place] -= total
+                part = 1 / total[:, None]
+                back[pick] += (x @ weights[:-1].T) * part
+                grads["c"][:, columns] += (own * part).T @ x
+    short = np.flatnonzero(listed)
     order = short[np.argsort(cls[short], kind="stable")]
     ends = np.searchsorted(cls[order], np.arange(classes.n + 1)).tolist()
     states, tokens = states[order], tokens[order]
@@ -178,7 +193,7 @@ def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, w
     score[order] += own_score
     if grad:
         back[order] += own_back
-    return score, dc, back
+    return score, grads, back
 
 
 def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, word_grads: np.ndarray, safe: bool = False):
@@ -188,10 +203,10 @@ def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarr
     flat, whole = tokens.reshape(-1), bool(live.all())
     states = before.reshape(-1, n + 1)
     if whole:
-        score, dc, back = _output(w, classes, states, flat, word_grads, safe)
+        score, grads, back = _output(w, classes, states, flat, word_grads, safe)
     else:
         on = np.flatnonzero(live.reshape(-1))
-        score, dc, back_on = _output(w, classes, states[on], flat[on], word_grads, safe)
+        score, grads, back_on = _output(w, classes, states[on], flat[on], word_grads, safe)
         back = np.zeros((len(flat), n), h.dtype)
         back[on] = back_on
     back = back.reshape(long, wide, n)
@@ -218,7 +233,7 @@ def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarr
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    grads = {"c": dc, "u": du, "b": np.ones(len(dx), h.dtype) @ dx, "p": rows.T @ dx}
+    grads |= {"u": du, "b": np.ones(len(dx), h.dtype) @ dx, "p": rows.T @ dx}
     return score, last, grads, (ordered[first], np.add.reduceat((dx @ w["p"].T)[order], first, axis=0))
 
 
