@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession, hours: float) -> int:
+    """Delete this library's tables in the shared folder that nothing has written to for so long; how many.
+
+    Results are read from such tables, so only those of finished work may go.
+    """
+    folder = Folder(spark, shared_folder(spark))
+    old = [n for n, written in folder.times().items() if n.startswith("gridloom-") and written < time.time() - hours * 3600]
+    for name in old:
+        folder.delete(name)
+    return len(old)
+
+
 class Folder:
     """Files below a path of any file system that Spark knows, for the driver's own small files."""
 
@@ -47,6 +60,11 @@ class Folder:
         fs, at = self._fs(), self._at(name)
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
+    def times(self) -> dict[str, float]:
+        """When each entry was last written to, in seconds."""
+        fs, at = self._fs(), self._at("")
+        return {x.getPath().getName(): x.getModificationTime() / 1000 for x in fs.listStatus(at)} if fs.exists(at) else {}
+
     def delete(self, name: str) -> None:
         self._fs().delete(self._at(name), True)
 

@@ -17,6 +17,7 @@ from gridloom.operators import pyramid, reshape
 from gridloom.plans import lifecycle
 from gridloom.plans.model import StatusCode, StoreConfig, StoreError, check_json, dimensions, dtype_of, get_log_level, set_log_level, status_message
 from gridloom.sources import store
+from gridloom.sources.shared import clear_shared, written
 from gridloom.streaming.sink import StreamSink
 from tests.fake_s3 import FakeS3
 
@@ -313,6 +314,14 @@ def test_devices_never_raise(spark, tmp_path):
     assert device.destroy() is lifecycle.State.CLOSED and device.configure(config(tmp_path)) is lifecycle.State.CLOSED
 
 
+def test_old_tables_are_cleared(spark):
+    kept = written(spark.range(3).toDF("id"), "kept")
+    assert kept.count() == 3 and clear_shared(spark, 1.0) == 0
+    assert kept.count() == 3 and clear_shared(spark, -1.0) > 0
+    with pytest.raises(Exception, match="not exist|NOT_FOUND|not found"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_shutdown(spark):
     lifecycle.shutdown()
     assert lifecycle.init(spark) == 6
