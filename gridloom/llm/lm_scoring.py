@@ -38,7 +38,7 @@ COMMON_WORDS = 1 << 19
 TAIL_CLASSES = 96
 HIDDEN, EMBED, WINDOW = 24, 24, 16
 #: The share of a shard's documents that are learnt after each round, and the round's learning rate.
-ROUNDS = ((1 / 64, 0.02), (1 / 16, 0.02), (1 / 4, 0.015), (1.0, 0.01))
+ROUNDS = ((1 / 32, 0.03), (1.0, 0.02))
 #: The number of shards is the square root of the number of training tokens over this.
 SHARD_ROOT = 700
 #: Windows of one round in a shard, about: the number of documents read side by side follows from it, within these bounds.
@@ -294,7 +294,7 @@ def lanes(lengths: np.ndarray, n_lanes: int) -> list[list[int]]:
     return [dealt[i] for i in sorted(size, key=lambda i: -size[i]) if dealt[i]]
 
 
-def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray, n_lanes: int = 512) -> np.ndarray:
+def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray, n_lanes: int = 1024) -> np.ndarray:
     """log10 probability of each token's class and short-list word, documents each from a zero state."""
     out = np.zeros(len(tokens))
     if not len(tokens):
