@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
+def scratch(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages restart from there.
 
     The caller's retention policy for the shared folder removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,6 +47,8 @@ UPDATES, LANES = 400, (16, 512)
 WORD_STEP = 2
 #: Tokens whose classes are worked out at a time: what they take stays in the cache.
 BLOCK = 2048
+#: Tokens that a shard's lanes are filled with at a time, about.
+FEED = 1 << 20
 #: Numbers in one slice of the weights, which one task adds up over all shards.
 SLICE = 1 << 16
 _LN10 = float(np.log(10))
@@ -562,7 +564,10 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary) -> tuple[dict, int]:
                         if now is not None:
                             yield from changes()
                         now, shard = Training(sent.value, classes, n_lanes, rate, expected), int(of[a])
-                    now.feed(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+                    while a < b:
+                        stop = min(b, max(a + 1, int(np.searchsorted(ends, ends[a] + FEED))))
+                        now.feed(flat[ends[a] : ends[stop]], ends[a : stop + 1] - ends[a])
+                        a = stop
             if now is not None:
                 yield from changes()
 
@@ -604,7 +609,7 @@ def score_documents(df: DataFrame, held_out: Column | None = None, folds: int =
     drawn = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.monotonically_increasing_id()), "text")
     shard = F.pmod(drawn, F.lit(shards_of(vocabulary))).cast("int")
     keyed = docs.select("doc_id", "held_out", shard.alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), drawn), 24).alias("u"), "text")
-    rows = scratch(coded(keyed, spark.sparkContext.broadcast(vocabulary)).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rows = scratch(coded(keyed, spark.sparkContext.broadcast(vocabulary)).withColumn("row", F.monotonically_increasing_id()), "lm-rows", "snappy")
     weights = spark.sparkContext.broadcast(fit_network(rows.where(~F.col("held_out")).select("shard", "u", "tokens"), vocabulary)[0])
     classes = vocabulary.classes
     log_all = float(np.log10(vocabulary.total + vocabulary.distinct + 1))
