@@ -38,17 +38,17 @@ COMMON_WORDS = 1 << 19
 TAIL_CLASSES = 96
 HIDDEN, EMBED, WINDOW = 24, 24, 16
 #: The share of a shard's documents that are learnt after each round, and the round's learning rate.
-ROUNDS = ((1 / 32, 0.03), (1.0, 0.02))
+ROUNDS = ((1 / 64, 0.03), (1.0, 0.02))
 #: The number of shards is the square root of the number of training tokens over this.
 SHARD_ROOT = 700
 #: Windows of one round in a shard, about: the number of documents read side by side follows from it, within these bounds.
-UPDATES, LANES = 400, (16, 512)
+UPDATES, LANES = 150, (16, 512)
 #: The short list's output words step once in so many windows.
 WORD_STEP = 2
 #: Tokens whose classes are worked out at a time: what they take stays in the cache.
 BLOCK = 2048
 #: Tokens that a shard's lanes are filled with at a time, about.
-FEED = 1 << 20
+FEED = 1 << 18
 #: Numbers in one slice of the weights, which one task adds up over all shards.
 SLICE = 1 << 16
 _LN10 = float(np.log(10))
