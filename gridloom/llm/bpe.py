@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from gridloom.llm.common import hash_spans, string_chunks
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: Distinct pieces that a worker remembers; beyond, it starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -96,10 +96,7 @@ class PieceTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.path = path
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = [t["content"].encode() for t in model.get("added_tokens", [])]
@@ -117,6 +114,13 @@ class PieceTokenizer:
         self.begin = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which only some texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         core = self.merger.encode_ordinary  # the pattern takes a piece as a whole
         for h, piece in zip(hashes.tolist(), pieces, strict=True):

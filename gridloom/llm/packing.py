@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.bpe import default_path, tokenizer
 
 #: Text bytes of one group on average: what a task holds at once. A task takes about TASK_GROUPS of them, one after the other.
-GROUP_BYTES, TASK_GROUPS = 8 << 20, 8
+GROUP_BYTES, TASK_GROUPS = 8 << 20, 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
