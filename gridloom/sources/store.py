@@ -441,7 +441,8 @@ def remove(cfg: StoreConfig) -> None:
     require(kind == fs.FileType.Directory, f"{cfg.uri} isn't a folder", StatusCode.IOError)
     known = {USER_METADATA, GROUP_V2, ATTRIBUTES_V2, NODE_V3}
     found = [f.base_name for f in target.get_file_info(fs.FileSelector(root))]
-    strange = [n for n in found if n not in known and not n.isdigit() and n.split(".")[0] not in ("", "acquire", "zarr")]
+    ours = lambda n: n.isdigit() or any(n == k or n.startswith(f"{k}.") for k in known)
+    strange = [n for n in found if not ours(n)]
     require(not strange, f"{cfg.uri} holds {strange[:3]} and isn't a store, so it stays", StatusCode.IOError)
     target.delete_dir(root)
 
