@@ -9,7 +9,7 @@ seen. So every text has a probability.
 
 The network is a GRU. It is trained by backpropagation truncated to windows, with its state carried
 across windows and set to zero only where a document begins. Training documents are dealt by hash
-to shards, in an order by hash. A round trains every shard from the same weights on the next, ever
+to shards, in an order by hash but for long ones, which come first. A round trains every shard from the same weights on the next, ever
 larger share of its documents, until all are learnt; then the shards' changes are averaged. Scoring
 carries the state from a document's first token to its end. Nothing of this depends on how the table
 is partitioned, but for the rounding of sums.
@@ -47,8 +47,8 @@ UPDATES, LANES = 150, (16, 512)
 WORD_STEP = 2
 #: Tokens whose classes are worked out at a time: what they take stays in the cache.
 BLOCK = 2048
-#: Tokens that a shard's lanes are filled with at a time, about.
-FEED = 1 << 18
+#: Tokens that a shard's lanes are filled with at a time, about, and of documents that come first, so that none of them is left over at the end.
+FEED, LONG = 1 << 18, 2048
 #: Numbers in one slice of the weights, which one task adds up over all shards.
 SLICE = 1 << 16
 _LN10 = float(np.log(10))
@@ -581,7 +581,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary) -> tuple[dict, int]:
 
         due = (F.col("u") >= int(begin * (1 << 40))) & (F.col("u") < int(end * (1 << 40)))
         begin = end
-        mine = texts.where(due).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "u")
+        mine = texts.where(due).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.size("tokens") <= LONG, "u")
         parts = mine.mapInArrow(trained, "slice int, shard int, part binary").repartition(F.col("slice")).sortWithinPartitions("slice", "shard")
         sums = sorted(parts.mapInArrow(added, "slice int, part binary").collect(), key=lambda r: r["slice"])
         sent.unpersist()
