@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ UPDATES, LANES = 150, (16, 512)
 WORD_STEP = 2
 #: Tokens whose classes are worked out at a time: what they take stays in the cache.
 BLOCK = 2048
+#: Windows whose outputs are worked out together in scoring.
+POOL = 4
 #: Tokens that a shard's lanes are filled with at a time, about, and of documents that come first, so that none of them is left over at the end.
 FEED, LONG = 1 << 18, 2048
 #: Numbers in one slice of the weights, which one task adds up over all shards.
@@ -106,145 +109,213 @@ def new_weights(classes: Classes, word_counts: np.ndarray, tail_counts: np.ndarr
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
+_kept_room: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+    """An unset array for the use called ``name``, which its next use overwrites. Fresh ones of some MB
+    would be handed back to the system and faulted in again at every window, for a sixth of the time."""
+    size, held = int(np.prod(shape)), _kept_room.get(name)
+    if held is None or held.dtype != dtype or len(held) < size:
+        held = _kept_room[name] = np.empty(size, dtype)
+    return held[:size].reshape(shape)
+
+
 def _steps(w: dict, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, keep: bool = False):
-    """Run the GRU over (time x lanes): the states before each token with a 1 behind, the last state, what backpropagation needs."""
+    """Run the GRU over (time x lanes): the states before each token with a 1 behind, the last state, what backpropagation needs.
+
+    Within, lanes are the last axis, so that every gate's numbers lie together. The next call overwrites all but the last state."""
     n, (long, wide) = HIDDEN, tokens.shape
-    rows = w["x"][tokens.reshape(-1)]
+    rows = _room("rows", (long, wide, EMBED), h.dtype)
+    np.take(w["x"], tokens.reshape(-1), axis=0, out=rows.reshape(-1, EMBED), mode="clip")
     # gates are sigmoids, 0.5 + 0.5 tanh(x / 2): halved here, once for all steps
     halves = np.repeat(np.array([0.5, 1.0], h.dtype), [2 * n, n])
-    inputs = rows @ (w["p"] * halves)
-    inputs += w["b"] * halves
-    inputs, turn = inputs.reshape(long, wide, 3 * n), w["u"] * halves
-    before, kept, some = np.ones((long, wide, n + 1), h.dtype), [], fresh.any(axis=1)
+    gates = np.matmul((w["p"] * halves).T, rows.transpose(0, 2, 1), out=_room("gates", (long, 3 * n, wide), h.dtype))
+    gates += (w["b"] * halves)[:, None]
+    turn, some = np.ascontiguousarray((w["u"] * halves).T), fresh.any(axis=1).tolist()
+    turned = _room("turned", (long if keep else 1, 3 * n, wide), h.dtype)
+    states = _room("states", (long + 1, n, wide), h.dtype)
+    states[0] = h.T
     for t in range(long):
+        now, after, x, r = states[t], states[t + 1], gates[t], turned[t if keep else 0]
         if some[t]:
-            h = h * ~fresh[t][:, None]
-        before[t, :, :n] = h
-        x, r = inputs[t], h @ turn
-        gates = x[:, : 2 * n] + r[:, : 2 * n]
-        np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5
-        z, reset = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + reset * r[:, 2 * n :])
-        if keep:
-            kept.append((z, reset, new, r[:, 2 * n :]))
-        h = h - new
-        h *= z
-        h += new
-    return before, h, (kept, rows)
+            now *= ~fresh[t]
+        np.matmul(turn, now, out=r)
+        both, new = x[: 2 * n], x[2 * n :]
+        both += r[: 2 * n]
+        np.tanh(both, out=both)
+        both *= 0.5
+        both += 0.5
+        np.multiply(x[n : 2 * n], r[2 * n :], out=after)
+        new += after
+        np.tanh(new, out=new)
+        np.subtract(now, new, out=after)
+        after *= x[:n]
+        after += new
+    before = _room("before", (long, wide, n + 1), h.dtype)
+    before[:, :, n] = 1
+    before[:, :, :n] = states[:-1].transpose(0, 2, 1)
+    return before, states[-1].T.copy(), (states, gates, turned, rows)
+
+
+def _classes_bounded(w: dict, classes: Classes) -> bool:
+    reach, bias = np.abs(w["c"][:-1]).sum(axis=0).max(), w["c"][-1]
+    return bool(np.abs(w["g"]).sum() < 80 and all(reach + abs(part.max()) < 80 for part in (bias[: classes.n], bias[classes.n :]) if len(part)))
+
+
+def _words_bounded(w: dict, classes: Classes) -> bool:
+    if not classes.n:
+        return True
+    weights = w["w"]
+    reach = (np.abs(weights) @ np.append(np.ones(HIDDEN, weights.dtype), weights.dtype.type(0))).max()
+    return bool(reach + np.abs(np.maximum.reduceat(weights[:, -1], classes.cuts[:-1])).max() < 80)
 
 
 def bounded(w: dict, classes: Classes) -> bool:
     """Whether no state, whose components lie between -1 and 1, takes a softmax out of the range of exp."""
-    reach, bias = np.abs(w["c"][:-1]).sum(axis=0).max(), w["c"][-1]
-    ok = np.abs(w["g"]).sum() < 80 and all(reach + abs(part.max()) < 80 for part in (bias[: classes.n], bias[classes.n :]) if len(part))
-    if classes.n:
-        reach, bias = np.abs(w["w"][:, :-1]).sum(axis=1).max(), np.maximum.reduceat(w["w"][:, -1], classes.cuts[:-1])
-        ok &= reach + np.abs(bias).max() < 80
-    return bool(ok)
+    return _classes_bounded(w, classes) and _words_bounded(w, classes)
+
+
+_ROWS = np.arange(BLOCK)
 
 
-def _softmax(x: np.ndarray, place: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of one place a row, and rows' sums; ``x`` turns from logits into their exponentials."""
+def _exponentials(own: np.ndarray, weights: np.ndarray, place: np.ndarray, total: np.ndarray, safe: bool, ones: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
+    """Exponentials of the logits, whose rows' sums go to ``total`` and the logits of one place a row to ``chosen``."""
+    x = own @ weights
     if not safe:
         x -= x.max(axis=1, keepdims=True)
-    at = x[np.arange(len(x)), place]
+    if chosen is not None:
+        chosen[:] = x[_ROWS[: len(x)], place]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return at - np.log(total), total
+    np.matmul(x, ones[: x.shape[1]], out=total)
+    return x
 
 
 def _output(w: dict, classes: Classes, states: np.ndarray, tokens: np.ndarray, word_grads: np.ndarray | None = None, safe: bool = False):
-    """Natural log-probability of each token's kind, class and short-list word. With ``word_grads``, which are added to, also gradients."""
-    cls, grad = classes.of[tokens], word_grads is not None
-    listed = tokens < classes.short
-    score, back, grads = np.zeros(len(tokens), states.dtype), None, None
+    """Natural log-probability of each token's kind, class and short-list word; with ``word_grads``, which are added to, gradients instead.
+
+    Tokens are put in the order of their classes once: listed ones come first, and a class's are a slice."""
+    grad, n, dtype = word_grads is not None, len(tokens), states.dtype
+    cls = classes.of[tokens]
+    order = np.argsort(cls.astype(np.uint16) if classes.n + TAIL_CLASSES < 1 << 16 else cls, kind="stable")
+    cls, tokens = cls[order], tokens[order]
+    states = np.take(states, order, axis=0, out=_room("ordered", states.shape, dtype), mode="clip")
+    ends = np.searchsorted(cls, np.arange(classes.n + 1)).tolist()
+    m, sizes = ends[-1], np.diff(classes.cuts)  # m: listed tokens
+    score, back, grads, chosen = None, None, None, None
+    # sums of words' exponentials, 1 where a class has one word
+    total, ones = np.ones(n, dtype), np.ones(max(classes.n, TAIL_CLASSES + 1, *sizes.tolist(), 1), dtype)
     if grad:
-        back, grads = np.zeros((len(tokens), HIDDEN), states.dtype), {"c": np.zeros_like(w["c"]), "g": np.zeros_like(w["g"])}
+        back, grads = _room("back", (n, HIDDEN), dtype), {"c": np.empty_like(w["c"]), "g": np.zeros_like(w["g"])}
+        grads["c"][:] = 0
+    else:
+        score, chosen = np.zeros(n, dtype), np.zeros(n, dtype)
+    inside = tokens[:m] - classes.cuts[cls[:m]]
+    for k, (a, b) in enumerate(zip(classes.cuts[:-1].tolist(), classes.cuts[1:].tolist(), strict=True)):
+        if b - a == 1:  # nothing to tell apart
+            if grad:
+                back[ends[k] : ends[k + 1]] = 0
+            continue
+        weights = w["w"][a:b]
+        for i in range(ends[k], ends[k + 1], BLOCK):
+            j = min(ends[k + 1], i + BLOCK)
+            own, place, sums = states[i:j], inside[i:j], total[i:j]
+            x = _exponentials(own, weights.T, place, sums, safe, ones, None if grad else chosen[i:j])
+            if grad:
+                x[_ROWS[: j - i], place] -= sums
+                np.divide(1, sums, out=sums)
+                word_grads[a:b] += x.T @ (own * sums[:, None])
+                np.matmul(x, weights[:, :-1], out=back[i:j])
+    if grad:
+        back[:m] *= total[:m, None]
+        back[m:] = 0
+    else:
+        score += chosen - np.log(total)
+    for begin, end, columns in ((0, m, slice(0, classes.n)), (m, n, slice(classes.n, None))):
+        weights = w["c"][:, columns]
+        for i in range(begin, end, BLOCK):
+            j = min(end, i + BLOCK)
+            own, place, sums = states[i:j], cls[i:j] - columns.start, total[i:j]
+            x = _exponentials(own, weights, place, sums, safe, ones, None if grad else chosen[i:j])
+            if grad:
+                x[_ROWS[: j - i], place] -= sums
+                np.divide(1, sums, out=sums)
+                grads["c"][:, columns] += (own * sums[:, None]).T @ x
+                more = x @ weights[:-1].T
+                more *= sums[:, None]
+                back[i:j] += more
     if classes.n:
         x = states @ w["g"]
-        score -= np.logaddexp(0, np.where(listed, -x, x))
         if grad:
-            d = _sigmoid(x) - listed
+            d = _sigmoid(x)
+            d[:m] -= 1
             back += d[:, None] * w["g"][:-1]
             grads["g"] = states.T @ d
-    for kind, columns in ((np.flatnonzero(listed), slice(0, classes.n)), (np.flatnonzero(~listed), slice(classes.n, None))):
-        weights = w["c"][:, columns]
-        for a in range(0, len(kind), BLOCK):
-            pick = kind[a : a + BLOCK]
-            own, place = states[pick], cls[pick] - columns.start
-            x = own @ weights
-            found, total = _softmax(x, place, safe)
-            score[pick] += found
-            if grad:
-                x[np.arange(len(x)), place] -= total
-                part = 1 / total[:, None]
-                back[pick] += (x @ weights[:-1].T) * part
-                grads["c"][:, columns] += (own * part).T @ x
-    short = np.flatnonzero(listed)
-    order = short[np.argsort(cls[short], kind="stable")]
-    ends = np.searchsorted(cls[order], np.arange(classes.n + 1)).tolist()
-    states, tokens = states[order], tokens[order]
-    own_score, own_back = np.zeros(len(order), states.dtype), np.zeros((len(order) if grad else 0, HIDDEN), states.dtype)
-    for k, (a, b) in enumerate(zip(classes.cuts[:-1].tolist(), classes.cuts[1:].tolist(), strict=True)):
-        i, j = ends[k], ends[k + 1]
-        if i == j or b - a == 1:  # nothing to tell apart
-            continue
-        own, place, weights = states[i:j], tokens[i:j] - a, w["w"][a:b]
-        x = own @ weights.T
-        own_score[i:j], total = _softmax(x, place, safe)
-        if grad:
-            x[np.arange(j - i), place] -= total
-            part = 1 / total[:, None]
-            word_grads[a:b] += x.T @ (own * part)
-            own_back[i:j] = (x @ weights[:, :-1]) * part
-    score[order] += own_score
+        else:
+            np.negative(x[:m], out=x[:m])
+            score -= np.logaddexp(0, x)
+    back_to = np.empty_like(order)
+    back_to[order] = np.arange(n)
     if grad:
-        back[order] += own_back
-    return score, grads, back
+        return None, grads, back.take(back_to, axis=0)
+    score += chosen - np.log(total)
+    return score[back_to], None, None
 
 
 def _window_gradients(w: dict, classes: Classes, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, word_grads: np.ndarray, safe: bool = False):
-    """Scores, last state, dense gradients, and the input symbols' gradients as (symbols, rows)."""
-    before, last, (kept, rows) = _steps(w, h, tokens, fresh, keep=True)
+    """The number of tokens, last state, dense gradients, and the input symbols' gradients as (symbols, rows)."""
+    before, last, (states, gates, turned, rows) = _steps(w, h, tokens, fresh, keep=True)
     n, (long, wide) = HIDDEN, tokens.shape
     flat, whole = tokens.reshape(-1), bool(live.all())
-    states = before.reshape(-1, n + 1)
+    outputs = before.reshape(-1, n + 1)
     if whole:
-        score, grads, back = _output(w, classes, states, flat, word_grads, safe)
+        _, grads, back = _output(w, classes, outputs, flat, word_grads, safe)
     else:
         on = np.flatnonzero(live.reshape(-1))
-        score, grads, back_on = _output(w, classes, states[on], flat[on], word_grads, safe)
+        _, grads, back_on = _output(w, classes, outputs[on], flat[on], word_grads, safe)
         back = np.zeros((len(flat), n), h.dtype)
         back[on] = back_on
-    back = back.reshape(long, wide, n)
-    dh, du, some, back_u = np.zeros_like(h), np.zeros_like(w["u"]), fresh.any(axis=1), np.ascontiguousarray(w["u"].T)
-    dx_all, drec = np.empty((long, wide, 3 * n), h.dtype), np.empty((wide, 3 * n), h.dtype)
+    turned_back = _room("turned back", (long, n, wide), h.dtype)
+    turned_back[:] = back.reshape(long, wide, n).transpose(0, 2, 1)
+    dh, du, some, u = np.zeros((n, wide), h.dtype), np.zeros_like(w["u"]), fresh.any(axis=1).tolist(), w["u"]
+    dx, drec, spare = _room("dx", (long, 3 * n, wide), h.dtype), np.empty((3 * n, wide), h.dtype), np.empty((n, wide), h.dtype)
     for t in range(long - 1, -1, -1):
-        z, reset, new, rn = kept[t]
-        dx, own = dx_all[t], before[t, :, :n]
-        da, dnew = dx[:, 2 * n :], dh * (1 - z)
-        np.multiply(dnew, 1 - new * new, out=da)
-        dnew *= own - new
-        np.multiply(dnew, z, out=dx[:, :n])
-        np.multiply(da * rn * reset, 1 - reset, out=dx[:, n : 2 * n])
-        drec[:, : 2 * n] = dx[:, : 2 * n]
-        np.multiply(da, reset, out=drec[:, 2 * n :])
-        du += own.T @ drec
-        dh *= z
-        dh += drec @ back_u
-        dh += back[t]
+        x, own, rn = gates[t], states[t], turned[t, 2 * n :]
+        z, reset, new = x[:n], x[n : 2 * n], x[2 * n :]
+        dz, dreset, da = dx[t, :n], dx[t, n : 2 * n], dx[t, 2 * n :]
+        # dz = dh (own - new) z (1 - z); da = dh (1 - z) (1 - new^2); dreset = da rn reset (1 - reset)
+        np.multiply(dh, z, out=spare)
+        dh -= spare
+        np.subtract(own, new, out=dz)
+        dz *= dh
+        dz *= z
+        np.multiply(new, new, out=da)
+        np.subtract(1, da, out=da)
+        da *= dh
+        np.multiply(da, reset, out=drec[2 * n :])
+        np.subtract(1, reset, out=dreset)
+        dreset *= rn
+        dreset *= drec[2 * n :]
+        drec[: 2 * n] = dx[t, : 2 * n]
+        du += own @ drec.T
+        np.matmul(u, drec, out=dh)
+        dh += spare
+        dh += turned_back[t]
         if some[t]:
-            dh *= ~fresh[t][:, None]
+            dh *= ~fresh[t]
     if not whole:
-        dx_all *= live[:, :, None]
-    dx = dx_all.reshape(-1, 3 * n)
-    order = np.argsort(flat, kind="stable")
-    ordered = flat[order]
-    first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    grads |= {"u": du, "b": np.ones(len(dx), h.dtype) @ dx, "p": rows.T @ dx}
-    return score, last, grads, (ordered[first], np.add.reduceat((dx @ w["p"].T)[order], first, axis=0))
+        dx *= live[:, None, :]
+    present = np.zeros(classes.end + 1, bool)
+    present[flat] = True
+    symbols = np.flatnonzero(present)
+    spot = (np.cumsum(present) - 1)[flat]
+    ones = np.ones(wide, h.dtype)
+    grads |= {"u": du, "b": (dx @ ones).sum(axis=0), "p": np.matmul(rows.transpose(0, 2, 1), dx.transpose(0, 2, 1)).sum(axis=0)}
+    moves = np.matmul(w["p"], dx, out=_room("moves", (long, EMBED, wide), h.dtype))
+    sums = np.empty((len(symbols), EMBED), h.dtype)
+    for k in range(EMBED):
+        sums[:, k] = np.bincount(spot, moves[:, k].reshape(-1), len(symbols))
+    return len(flat) if whole else len(on), last, grads, (symbols, sums)
 
 
 class Adam:
@@ -316,15 +387,22 @@ def token_scores(w: dict, classes: Classes, tokens: np.ndarray, at: np.ndarray,
     begin = np.zeros(len(tokens), bool)
     begin[at[:-1]] = True
     h, safe = np.zeros((place.shape[1], HIDDEN), np.float32), bounded(w, classes)
+    # several windows' states go through the output together: its work by class has a fixed part
+    states, spots, held = _room("pooled", (POOL * WINDOW * place.shape[1], HIDDEN + 1), h.dtype), [], 0
     for a in range(0, len(place), WINDOW):
         on = int((place[a] >= 0).sum())  # lanes end in order
         p = place[a : a + WINDOW, :on]
         at_p = np.maximum(p, 0)
         before, last, _ = _steps(w, h[:on], tokens[at_p], begin[at_p])
-        live = p.reshape(-1) >= 0
-        spots = p.reshape(-1)[live]
-        out[spots] = _output(w, classes, before.reshape(-1, HIDDEN + 1)[live], tokens[spots], safe=safe)[0] / _LN10
         h[:on] = last
+        live = np.flatnonzero(p.reshape(-1) >= 0)
+        np.take(before.reshape(-1, HIDDEN + 1), live, axis=0, out=states[held : held + len(live)], mode="clip")
+        spots.append(p.reshape(-1)[live])
+        held += len(live)
+        if len(spots) == POOL or a + WINDOW >= len(place):
+            pooled, held, spots = np.concatenate(spots), 0, []
+            out[pooled] = _output(w, classes, states[: len(pooled)], tokens[pooled], safe=safe)[0]
+    out /= _LN10
     return out
 
 
@@ -340,6 +418,7 @@ class Training:
         self.h = np.zeros((n_lanes, HIDDEN), np.float32)
         self.counts = np.zeros(classes.end + 1, np.int64)
         self.done = 0
+        self.words_bounded: tuple[int, bool] | None = None
 
     def feed(self, tokens: np.ndarray, at: np.ndarray) -> None:
         """Documents, each of one token or more."""
@@ -382,13 +461,19 @@ class Training:
         self.queues = [(np.zeros(0, np.int64), np.zeros(0, bool))] * len(queues)
 
     def _window(self, h: np.ndarray, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray) -> np.ndarray:
-        score, last, grads, sparse = _window_gradients(self.w, self.classes, h, tokens, fresh, live, self.adam.words, bounded(self.w, self.classes))
+        n, last, grads, sparse = _window_gradients(self.w, self.classes, h, tokens, fresh, live, self.adam.words, self._bounded())
         # towards a tenth of the rate at the end; windows of few lanes step less
-        rate = self.rate * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, 4 * len(score) / (WINDOW * len(self.queues)))
-        self.adam.step(grads, *sparse, len(score), rate)
-        self.done += len(score)
+        rate = self.rate * (1 - 0.9 * min(1.0, self.done / self.expected)) * min(1.0, 4 * n / (WINDOW * len(self.queues)))
+        self.adam.step(grads, *sparse, n, rate)
+        self.done += n
         return last
 
+    def _bounded(self) -> bool:
+        """As ``bounded``; the words' part is worked out again only where they have stepped."""
+        if self.words_bounded is None or self.words_bounded[0] != self.adam.word_steps:
+            self.words_bounded = self.adam.word_steps, _words_bounded(self.w, self.classes)
+        return self.words_bounded[1] and _classes_bounded(self.w, self.classes)
+
 
 # --- words ---------------------------------------------------------------------------------------
 
@@ -416,12 +501,31 @@ class Vocabulary:
     distinct: int
     ends: int
 
+    @cached_property
+    def _begins(self) -> tuple[np.ndarray, np.uint64]:
+        """Where hashes with each value of the leading bits begin, and the shift that leaves these bits; made in each process."""
+        bits = max(1, int(len(self.hashes)).bit_length())
+        shift = np.uint64(64 - bits)
+        return np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift), shift
+
+    def _spots(self, h: np.ndarray) -> np.ndarray:
+        """The first hash that isn't smaller, or the last one: a step or two from where the leading bits begin, instead of a search."""
+        begins, shift = self._begins
+        last = len(self.hashes) - 1
+        spot = np.minimum(begins[(h >> shift).astype(np.int64)], last)
+        late = np.flatnonzero(self.hashes[spot] < h)
+        while len(late):
+            late = late[spot[late] < last]
+            spot[late] += 1
+            late = late[self.hashes[spot[late]] < h[late]]
+        return spot
+
     def look_up(self, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each word, and its count or -1 if it isn't common."""
         tail = self.classes.short + self.suffix_class[suffix]
         if not len(self.hashes):
             return tail, np.full(len(h), -1, np.int64)
-        spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        spot = self._spots(h)
         hit = self.hashes[spot] == h
         symbol = np.where(hit, self.symbols[spot], -1)
         return np.where(symbol >= 0, symbol, tail), np.where(hit, self.counts[spot], -1)
@@ -529,6 +633,11 @@ def shards_of(vocabulary: Vocabulary) -> int:
     return max(1, int(np.sqrt(vocabulary.total) / SHARD_ROOT))
 
 
+def by_shard(texts: DataFrame, n_shards: int) -> DataFrame:
+    """A partition for each shard, in the order of learning. Ranges of a sample would put two shards in one task now and then."""
+    return texts.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.size("tokens") <= LONG, "u")
+
+
 def fit_network(texts: DataFrame, vocabulary: Vocabulary) -> tuple[dict, int]:
     """The weights after all rounds, and the tokens that they learnt from. ``texts``: shard, u, tokens of all training documents."""
     spark, classes, n_shards = texts.sparkSession, vocabulary.classes, shards_of(vocabulary)
@@ -581,7 +690,7 @@ def fit_network(texts: DataFrame, vocabulary: Vocabulary) -> tuple[dict, int]:
 
         due = (F.col("u") >= int(begin * (1 << 40))) & (F.col("u") < int(end * (1 << 40)))
         begin = end
-        mine = texts.where(due).repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.size("tokens") <= LONG, "u")
+        mine = by_shard(texts.where(due), n_shards)
         parts = mine.mapInArrow(trained, "slice int, shard int, part binary").repartition(F.col("slice")).sortWithinPartitions("slice", "shard")
         sums = sorted(parts.mapInArrow(added, "slice int, part binary").collect(), key=lambda r: r["slice"])
         sent.unpersist()

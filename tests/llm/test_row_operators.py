@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import resource
 import random
 import re
 import zlib
@@ -363,6 +364,47 @@ def test_training_carries_state_over_batches():
     assert sorted(np.concatenate([t[v] for t, _, v in seen]).tolist()) == sorted(tokens.tolist())
 
 
+def test_every_shard_has_its_task(spark):
+    """Also shards of very unequal sizes, and ones without documents."""
+    rows = [(22 if i % 10 else i // 10 % 23, i, [1, 2]) for i in range(3000)]
+    texts = spark.createDataFrame([r for r in rows if r[0] != 7], "shard int, u long, tokens array<int>")
+    got = lm_scoring.by_shard(texts, 23).groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("shard").alias("shards")).collect()
+    assert sorted(r.shards for r in got) == [[k] for k in range(23) if k != 7]
+
+
+def test_common_words_are_looked_up():
+    rng = np.random.default_rng(8)
+    crowd = (np.uint64(5) << np.uint64(60)) + np.arange(50, dtype=np.uint64) * np.uint64(3)  # equal leading bits
+    for hashes in (crowd[:1], crowd, np.unique(np.concatenate([crowd, rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)]))):
+        n = len(hashes)
+        known = lm_scoring.Vocabulary(hashes, np.arange(n) + 1, np.where(np.arange(n) % 2, -1, np.arange(n)), np.arange(65536) % 3, np.zeros(3), lm_scoring.Classes(np.array([0, n])), 1, 1, 1)
+        asked = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        suffix = rng.integers(0, 65536, len(asked))
+        place = {h: i for i, h in enumerate(hashes.tolist())}
+        for h, s, symbol, count in zip(asked.tolist(), suffix.tolist(), *known.look_up(asked, suffix), strict=True):
+            i = place.get(h, -1)
+            assert count == (i + 1 if i >= 0 else -1) and symbol == (i if i >= 0 and i % 2 == 0 else n + s % 3)
+
+
+def test_windows_reuse_their_memory():
+    """Windows of full width, in training and in scoring, don't take memory from the system anew each time."""
+    rng = np.random.default_rng(7)
+    classes, w = some_weights(rng)
+    tokens = rng.integers(0, classes.end + 1, (lm_scoring.WINDOW, 512))
+    fresh, live, h = tokens == classes.end, np.ones(tokens.shape, bool), np.zeros((512, lm_scoring.HIDDEN), np.float32)
+    words = np.zeros_like(w["w"])
+
+    def faults(windows: int) -> int:
+        begin = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for _ in range(windows):
+            lm_scoring._window_gradients(w, classes, h, tokens, fresh, live, words, True)
+            lm_scoring._steps(w, h, tokens, fresh)
+        return resource.getrusage(resource.RUSAGE_SELF).ru_minflt - begin
+
+    faults(3)
+    assert faults(20) < 20 * 300
+
+
 def test_state_is_carried():
     rng = np.random.default_rng(4)
     classes, w = some_weights(rng)
