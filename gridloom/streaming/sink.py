@@ -1,10 +1,12 @@
 """Streaming sink: append units are written as soon as all their frames are there, the rest at the end.
 
-The unit is a count of frames, not event time. Each micro-batch is first kept under its batch id and
-its frames' units, so that a repeated batch replaces itself; objects are derived from kept frames
-only, under fixed names, so a repeat writes the same bytes. A unit is dropped from what is kept once
-its objects are written. How far that is stands in a small file beside the checkpoint, from which a
-run goes on whose driver was lost.
+The unit is a count of frames, not event time. Each micro-batch is first kept under its batch id, so
+that a repeated batch replaces itself; objects are derived from kept frames only, under fixed names,
+so a repeat writes the same bytes. A batch lies in one folder, however many its units are, named after
+the first unit that wasn't written then. It goes once its objects are written; where that is half of it
+or more, its rest takes its place, so that all rests together are no larger than the batch was. How far
+objects are written stands in a small file beside the checkpoint, from which a run goes on whose driver
+was lost.
 """
 
 from __future__ import annotations
@@ -35,24 +37,34 @@ class StreamSink:
         self.written = 0  # frames whose objects are written
         self.unit = unit_frames(self.cfg)
 
+    def _kept(self) -> DataFrame:
+        """All kept frames with their batches; after a lost driver some may be there twice."""
+        if not self.folder.names("kept"):
+            return self.spark.createDataFrame([], _KEPT)
+        return self.spark.read.schema(_KEPT).option("basePath", f"{self.work}/kept").parquet(f"{self.work}/kept")
+
     def _held(self) -> DataFrame:
         """Kept frames that aren't written, each once."""
-        if not self.folder.names("kept"):
-            return self.spark.createDataFrame([], "frame_id long, data binary, unit long")
-        kept = self.spark.read.schema(_KEPT).option("basePath", f"{self.work}/kept").parquet(f"{self.work}/kept")
-        return kept.where((F.col("unit") >= self.written // self.unit) & (F.col("frame_id") >= self.written)).dropDuplicates(["unit", "frame_id"])
+        return self._kept().select("frame_id", "data").where(F.col("frame_id") >= self.written).dropDuplicates(["frame_id"])
+
+    def _keep(self, frames: DataFrame, batch_id: int) -> None:
+        """Keep what isn't written of a batch's frames."""
+        path = f"{self.work}/kept/batch={batch_id}/unit={self.written // self.unit}"
+        frames.select("frame_id", "data").where(F.col("frame_id") >= self.written).write.mode("append").parquet(path)
 
     def take(self, batch: DataFrame, batch_id: int) -> int:
         """Keep a micro-batch and write the units that are whole now; the frames written so far."""
-        frames = batch.select(F.col("frame_id").cast("long"), F.col("data").cast("binary")).where(F.col("frame_id") >= self.written)
-        frames.withColumn("unit", div(F.col("frame_id"), self.unit)).write.mode("overwrite").partitionBy("unit").parquet(f"{self.work}/kept/batch={batch_id}")
+        self.folder.delete(f"kept/batch={batch_id}")
+        self._keep(batch.select(F.col("frame_id").cast("long"), F.col("data").cast("binary")), batch_id)
         # frames may come out of order: units count when they and all before them are whole
-        full = {r.unit for r in self._held().groupBy("unit").agg(F.countDistinct("frame_id").alias("n")).where(F.col("n") == self.unit).collect()}
+        units = self._held().groupBy(div(F.col("frame_id"), self.unit).alias("unit")).agg(F.count("*").alias("n"))
+        full = {r.unit for r in units.where(F.col("n") == self.unit).select("unit").collect()}
         last = self.written // self.unit
         while last in full:
             last += 1
         if last * self.unit > self.written:
-            self._write(self._held().where(F.col("unit") < last).select("frame_id", "data"), last * self.unit)
+            self._write(self._held().where(F.col("frame_id") < last * self.unit), last * self.unit)
+            self._drop()
         return self.written
 
     def _write(self, frames: DataFrame, upto: int) -> None:
@@ -60,17 +72,21 @@ class StreamSink:
         write_metadata(self.cfg, upto)
         self.folder.save(_STATE, json.dumps({"frames": upto}))
         self.written = upto
-        self._drop()
 
     def _drop(self) -> None:
-        """Kept units that are written go."""
-        for batch in self.folder.names("kept"):
-            units = [n for n in self.folder.names(f"kept/{batch}") if n.startswith("unit=")]
-            gone = [n for n in units if (int(n[5:]) + 1) * self.unit <= self.written]
-            for name in gone if len(gone) < len(units) else []:
-                self.folder.delete(f"kept/{batch}/{name}")
-            if units and len(gone) == len(units):
-                self.folder.delete(f"kept/{batch}")
+        """Kept frames that are written go, where they are half of a batch or more."""
+        kept = self._kept()
+        rest = kept.groupBy("batch").agg(F.count("*").alias("n"), F.count(F.when(F.col("frame_id") >= self.written, 1)).alias("rest"))
+        more = {r.batch: r for r in rest.where("rest > 0").collect()}
+        for name in self.folder.names("kept"):
+            batch = int(name.removeprefix("batch="))
+            if batch not in more:
+                self.folder.delete(f"kept/{name}")
+            elif 2 * more[batch].rest <= more[batch].n:
+                self._keep(kept.where(F.col("batch") == batch).dropDuplicates(["frame_id"]), batch)
+                for unit in self.folder.names(f"kept/{name}"):  # the rest is there as a whole by now
+                    if unit.startswith("unit=") and int(unit[5:]) < self.written // self.unit:
+                        self.folder.delete(f"kept/{name}/{unit}")
 
     def begin(self, resume: bool = False) -> None:
         """Make ready to take frames. A new run removes an old store and the sink's own files in the work folder; a resumed one goes on from them."""
@@ -98,7 +114,7 @@ class StreamSink:
         n, low, high = held.agg(F.count("*"), F.min("frame_id"), F.max("frame_id")).first()
         if n:
             require(low == self.written and high == low + n - 1, f"frames are missing between {self.written} and {high}", StatusCode.InvalidArgument)
-            self._write(held.select("frame_id", "data"), self.written + n)
+            self._write(held, self.written + n)
         elif not self.written:
             write_metadata(self.cfg, 0)
         self.folder.delete("kept")

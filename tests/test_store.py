@@ -285,6 +285,50 @@ def test_stream_goes_on_after_a_lost_driver(spark, tmp_path):
     assert third.stop() == 30 and files(tmp_path / "store") == files(tmp_path / "other")
 
 
+def test_stream_keeps_batches_whole(spark, tmp_path):
+    """Folders and files that are kept don't grow with the units of a batch; a batch is rewritten where half of it is written."""
+    cfg = config(tmp_path)
+    made, work = fr.simulated(spark, "random", 43, 7, 5, seed=6).coalesce(2), tmp_path / "work"
+    other = StoreConfig(str(tmp_path / "other"), cfg.dims)
+    store.write(made, other)
+    kept = lambda: sorted(str(p.relative_to(work / "kept")) for p in (work / "kept").glob("*/*") if p.is_dir())
+    rows = lambda: sorted(r.frame_id for r in spark.read.parquet(str(work / "kept")).collect())
+    sink = StreamSink(spark, cfg, str(work))
+    sink.begin()
+    assert sink.unit == 4 and sink.take(made.where("frame_id not in (2, 14, 30)"), 0) == 0
+    assert kept() == ["batch=0/unit=0"] and len(list(work.rglob("*.parquet"))) <= 2
+    assert sink.take(made.where("frame_id = 2"), 1) == 12  # less than half
+    assert kept() == ["batch=0/unit=0"] and len(rows()) == 40
+    assert sink.take(made.where("frame_id = 14"), 2) == 28
+    assert kept() == ["batch=0/unit=7"] and rows() == [28, 29, *range(31, 43)]
+    assert sink.take(made.where("frame_id in (14, 30)"), 2) == 40  # a repeated batch replaces itself
+    assert kept() == ["batch=0/unit=10"] and rows() == [40, 41, 42]
+    assert sink.finish() == 43 and files(tmp_path / "store") == files(tmp_path / "other")
+
+
+def test_stream_lost_between_rest_and_batch(spark, tmp_path, monkeypatch):
+    """The driver goes when a batch's rest is kept and the batch isn't deleted yet: frames that are there twice count once."""
+    cfg = config(tmp_path, version=3, multiscale=True)
+    made, work = fr.simulated(spark, "random", 70, 7, 5, seed=7).coalesce(2), tmp_path / "work"
+    other = StoreConfig(str(tmp_path / "other"), cfg.dims, 3, multiscale=True)
+    store.write(made, other)
+    first = StreamSink(spark, cfg, str(work))
+    first.begin()
+    unit, late = first.unit, 69 // first.unit * first.unit + 1
+    assert first.take(made.where(f"frame_id not in (2, {late})"), 0) == 0
+    delete = first.folder.delete
+    with monkeypatch.context() as m:
+        m.setattr(first.folder, "delete", lambda name: delete(name) if "unit=" not in name else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            first.take(made.where("frame_id = 2"), 1)
+    assert sorted(p.name for p in (work / "kept/batch=0").glob("unit=*") if p.is_dir()) == ["unit=0", f"unit={late // unit}"]
+    second = StreamSink(spark, cfg, str(work))
+    second.begin(resume=True)
+    assert second.take(made.where("frame_id = 2"), 1) == late - 1
+    assert second.take(made.where(f"frame_id = {late}"), 2) == 70 // unit * unit
+    assert second.finish() == 70 and files(tmp_path / "store") == files(tmp_path / "other")
+
+
 def test_bytes_in_pieces(spark, tmp_path):
     made = fr.simulated(spark, "random", 6, 7, 5, seed=5).orderBy("frame_id").collect()
     raw = b"".join(r.data for r in made) + b"1234567"
